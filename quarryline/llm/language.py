@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quarryline.llm.textnp import code_points, holds, mixed, slices
+from quarryline.llm.textnp import MASK, code_points, holds, mixed, slices
 
 UNDETERMINED = "und"
 
@@ -49,7 +50,7 @@ def gram_counts(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     for n in (1, 2, 3):
         tail = symbols[n - 1 :]
         code = (code[: len(tail)] << np.uint64(21)) | tail if n > 1 else symbols.copy()
-        slot = (mixed(code + np.uint64(n) * np.uint64(0x632BE59BD9B4E019)) & np.uint64(dims - 1)).astype(np.int32)
+        slot = (mixed(code + np.uint64(n * 0x632BE59BD9B4E019 & MASK)) & np.uint64(dims - 1)).astype(np.int32)
         for i in range(len(texts)):
             a, b = cut[i], cut[i + 1] - n + 1
             if b > a:
@@ -188,7 +189,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("lang_pred", "score")
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
