@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quarryline.llm.textnp import MASK, code_points, holds, mixed, slices
+from quarryline.llm.textnp import BASE, code_points, holds, slices
 
 UNDETERMINED = "und"
 
@@ -50,7 +50,7 @@ def gram_counts(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     for n in (1, 2, 3):
         tail = symbols[n - 1 :]
         code = (code[: len(tail)] << np.uint64(21)) | tail if n > 1 else symbols.copy()
-        slot = (mixed(code + np.uint64(n * 0x632BE59BD9B4E019 & MASK)) & np.uint64(dims - 1)).astype(np.int32)
+        slot = ((code * np.uint64(BASE + 2 * n)) >> np.uint64(64 - bits)).astype(np.int32)
         for i in range(len(texts)):
             a, b = cut[i], cut[i + 1] - n + 1
             if b > a:
@@ -92,12 +92,18 @@ def train_ftrl(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classes:
 
 
 def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature of least log loss, by golden section on its logarithm."""
+    """The temperature of least log loss, by golden section on its logarithm.
+
+    A share 1 / (rows + 2) of each row counts as spread over all classes (the rule of succession), so that
+    rows without an error do not drive the temperature to zero.
+    """
     if not len(y):
         return 1.0
+    doubt = 1 / (len(y) + 2)
 
     def loss(t: float) -> float:
-        return float(-np.log(np.maximum(softmax(logits / np.exp(t))[np.arange(len(y)), y], 1e-12)).mean())
+        p = np.log(np.maximum(softmax(logits / np.exp(t)), 1e-300))
+        return float(-((1 - doubt) * p[np.arange(len(y)), y] + doubt * p.mean(1)).mean())
 
     a, b, g = -4.0, 4.0, (5**0.5 - 1) / 2
     for _ in range(60):
