@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import exact_dedup, language, mixing, ngram_join, sharding
+from quarryline.llm import decontaminate, exact_dedup, language, mixing, ngram_join, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -38,6 +42,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
     "op3_jaccard_join": op3_jaccard_join,
     "op5_hilbert_sharding": op5_hilbert_sharding,
@@ -46,6 +51,18 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_decontamination": r"""
+        WITH doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+        item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+        doc_runs AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s
+            FROM doc_words WHERE len(w) > 0),
+        item_runs AS (
+            SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s
+            FROM item_words WHERE len(w) > 0),
+        sized AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_item FROM item_runs),
+        shared AS (SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM doc_runs JOIN sized USING (s) GROUP BY ALL)
+        SELECT doc_id, item_id, n_shared / n_item AS containment, n_shared, n_item FROM shared WHERE n_shared / n_item >= 0.8""",
     "op8_exact_dedup": r"""
         WITH bare AS (
             SELECT doc_id, coalesce(text, '') AS body, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
