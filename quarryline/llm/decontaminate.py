@@ -32,14 +32,16 @@ BROADCAST_ROWS = 200_000
 def with_shingles(df: DataFrame, n: int, text: str = "text", into: str = "set") -> DataFrame:
     """``df`` with the hashes of the runs of ``n`` words in order; one of all the words if there are fewer.
 
-    Words are lower-case runs of letters, digits and underscores. They get a projection of their own, as a
-    lambda would evaluate their expression anew for each run.
+    Words are lower-case runs of letters, digits and underscores. They are bound to a lambda variable: the
+    optimizer would otherwise copy their expression into the inner lambda, to be evaluated for each run.
     """
     split = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+")
-    df = df.withColumn("_w", F.filter(split, lambda x: x != ""))
-    w = F.col("_w")
-    many = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[w[i + k] for k in range(n)]))
-    return df.withColumn(into, F.when(F.size(w) >= n, many).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>"))).drop("_w")
+
+    def runs(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[w[i + k] for k in range(n)]))
+        return F.when(F.size(w) >= n, many).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
+
+    return df.withColumn(into, F.transform(F.array(F.array_remove(split, "")), runs)[0])
 
 
 def hash_values(needed: float, floor: float) -> int:
@@ -82,7 +84,8 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
     marks = signs.select("s", "part").distinct()
 
     bare = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    spread = with_shingles(bare, n).select("doc_id", F.posexplode("set").alias("at", "s"))
+    # The outer forms keep the optimizer from filtering on the array's size, which would compute it twice.
+    spread = with_shingles(bare, n).select("doc_id", F.posexplode_outer("set").alias("at", "s"))
     # Every position of a marked shingle, and the one or two windows of its part that hold it.
     met = spread.join(_sized(marks, small), "s")
     block = F.floor(F.col("at") / F.col("part")).cast("int")
@@ -91,7 +94,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
 
     hit = written(windows.select("doc_id").distinct(), "marked-ids")
     again = bare.join(_sized(hit, hit.count() <= BROADCAST_ROWS), "doc_id", "left_semi")
-    again = written(with_shingles(again, n).select("doc_id", F.posexplode("set").alias("at", "s")), "marked-documents")
+    again = written(with_shingles(again, n).select("doc_id", F.posexplode_outer("set").alias("at", "s")).where("s is not null"), "marked-documents")
     parts = [r.part for r in signs.select("part").distinct().collect()]  # at most 31 powers of two
     sizes = F.array(*[F.lit(p) for p in parts]) if parts else F.array().cast("array<int>")
     cells = again.select("doc_id", "s", "at", F.explode(sizes).alias("part"))

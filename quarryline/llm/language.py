@@ -141,7 +141,11 @@ def training_sample(rows: DataFrame, per_language: int, bits: int) -> list[tuple
     from pyspark.sql import Window
 
     named = rows.select("doc_id", "lang", F.xxhash64(F.col("doc_id")).alias("h"))
-    ranked = named.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_language)
+    # First the smallest of each of 64 parts, so that a common language does not meet in one task.
+    order = [F.col("h"), F.col("doc_id")]
+    parts = named.withColumn("part", F.pmod("h", F.lit(64)))
+    parts = parts.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("r") <= per_language).drop("r")
+    ranked = parts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= per_language)
     # per_language ids of each language: bounded by the parameter.
     chosen = F.broadcast(ranked.select("doc_id", "h").distinct())
 
