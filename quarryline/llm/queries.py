@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontaminate, exact_dedup, language, mixing, ngram_join, sharding
+from quarryline.llm import decontaminate, exact_dedup, language, licenses, mixing, ngram_join, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_paths(_table(spark, sf_dir, "documents")))
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.describe_rows(_table(spark, sf_dir, "documents"))
     cut = sharding.hilbert_shards(rows, 24, group="text_key")
@@ -41,7 +45,13 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op4_license_scan": op4_license_scan,
+    "op9_quality_resampling": op9_quality_resampling,
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
     "op3_jaccard_join": op3_jaccard_join,
