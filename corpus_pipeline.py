@@ -1,28 +1,64 @@
-"""From raw documents to training shards."""
+"""From raw documents to training shards: the stages of a corpus, each over all that its predecessor kept.
+
+Every stage is a function of (spark, docs, sf_dir); ``run`` writes its result to the shared folder and reads it
+back as the next one's input. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import mixing, sharding
+from quarryline.llm import decontaminate, language, mixing, ngram_join, sharding
 from quarryline.runtime import written
 
+#: A document whose language is less certain than this is rejected.
+LEAST_SCORE = 0.5
+N_SHARDS = 24
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a determinable language."""
+    found = language.predict(docs, language.fit(docs))
+    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the smallest doc_id stays, once; rows without doc_id stay."""
+    classes = ngram_join.jaccard_classes(docs)
+    surplus = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
+    return docs.join(surplus, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a test item."""
+    pairs = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.without_contaminated(docs, pairs)
+
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs.withColumn("_size", mixing.word_count(F.col("text"))), size="_size")
-    return mixing.repeated(mixed, size="_size").select(*docs.columns)
+    """Repeat or leave out documents so that the sources meet their shares."""
+    mixed = mixing.mix(docs.withColumn("_words", mixing.word_count(F.col("text"))), size="_words")
+    return mixing.repeated(mixed, size="_words").select(*docs.columns)
 
 
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with size, shard and slot."""
     body = F.coalesce("text", F.lit(""))
     rows = docs.withColumns({"size": (F.octet_length(body) + 8).cast("long"), "text_key": F.xxhash64(body)})
-    return sharding.hilbert_shards(rows, 24).drop("text_key", "curve")
+    return sharding.hilbert_shards(rows, N_SHARDS).drop("text_key", "curve")
 
 
-STAGES = [("mix", mix_sources), ("shard", shard)]
+STAGES = [
+    ("language", keep_languages),
+    ("near_copies", keep_one_of_near_copies),
+    ("benchmark", drop_benchmark_leaks),
+    ("mixture", mix_sources),
+    ("shards", cut_shards),
+]
 
-#: Language identification is trained, which SQL cannot express; the tests hold the stages against brute force.
+#: The language model is trained and the near-copy search is seeded by hashes that SQL lacks; tests hold the
+#: stages against brute force instead.
 ORACLE_SQL = None
 
 
