@@ -1,0 +1,84 @@
+"""Text generators behind one interface."""
+
+from __future__ import annotations
+
+import json
+import os
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+class Provider(Protocol):
+    def generate(self, prompt: str) -> str: ...
+
+
+class MockProvider:
+    """A constant reply, for tests."""
+
+    def generate(self, prompt: str) -> str:
+        return "This is a test response of the mock provider. The context reached it."
+
+
+class LocalProvider:
+    """A completion server on this or another machine."""
+
+    def __init__(self, server_url: str = "http://127.0.0.1:8080", tokens: int = 180, temperature: float = 0.2, timeout: float = 180) -> None:
+        self.url, self.tokens, self.temperature, self.timeout = f"{server_url.rstrip('/')}/completion", tokens, temperature, timeout
+
+    def generate(self, prompt: str) -> str:
+        body = json.dumps({"prompt": prompt, "n_predict": self.tokens, "temperature": self.temperature, "stream": False}).encode()
+        request = urllib.request.Request(self.url, body, {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+                return json.load(reply).get("content", "").strip()
+        except urllib.error.HTTPError as e:
+            raise RuntimeError(f"The completion server returned HTTP {e.code}: {e.read().decode(errors='replace')}") from e
+        except TimeoutError as e:
+            raise RuntimeError(f"The completion server gave no reply in {self.timeout} seconds") from e
+        except OSError as e:
+            raise RuntimeError(f"The completion server cannot be reached: {e}") from e
+
+
+class HostedProvider:
+    """A hosted chat service with a key from the environment; ``client`` makes the call."""
+
+    def __init__(self, key_name: str, client: Callable[[str, str], str]) -> None:
+        key = os.environ.get(key_name)
+        if not key:
+            raise ValueError(f"{key_name} is not set")
+        self.key, self.client = key, client
+
+    def generate(self, prompt: str) -> str:
+        return self.client(self.key, prompt)
+
+
+REGISTRY: dict[str, Callable[[], Provider]] = {"mock": MockProvider, "local": LocalProvider}
+
+
+def get_provider(name: str) -> Provider:
+    """The provider registered under ``name``, whatever its case and blanks around it."""
+    key = name.strip().lower()
+    if key not in REGISTRY:
+        raise ValueError(f"Unknown provider: {key}. Registered: {', '.join(sorted(REGISTRY))}.")
+    return REGISTRY[key]()
+
+
+def prompt(query: Column, path: Column, evidence: Column) -> Column:
+    return F.concat(F.lit("Answer from the supplied repository evidence alone.\n\nUSER QUESTION:\n"), query, F.lit("\n\nIMPLEMENTATION PATH:\n"), path, F.lit("\n\nSOURCE CODE:\n"), evidence, F.lit("\n\nGive a concise factual answer. Do not speculate.\n"))
+
+
+def answer(prompts: DataFrame, provider: str) -> DataFrame:
+    """(qid, answer): the ``explanation`` of a row if it has one, else the provider's reply to its ``prompt``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        generator = get_provider(provider)
+        for frame in frames:
+            yield pd.DataFrame({"qid": frame["qid"], "answer": [e or generator.generate(p) for p, e in zip(frame["prompt"], frame["explanation"], strict=True)]})
+
+    return prompts.select("qid", "prompt", "explanation").mapInPandas(run, "qid long, answer string")
