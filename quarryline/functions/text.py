@@ -136,5 +136,5 @@ def first_filled(*columns: Column) -> Column:
 def first_paragraph(doc: Column, most: int = 300) -> Column:
     """The first paragraph on one line, cut to ``most`` characters with an ellipsis."""
     lines = F.split(F.split(F.trim(doc), "\n\n", 2)[0], "\n")
-    flat = F.array_join(F.transform(lines, F.trim), " ")
+    flat = F.array_join(F.transform(lines, lambda x: F.trim(x)), " ")
     return F.when(F.length(flat) > most, F.concat(F.left(flat, F.lit(most - 3)), F.lit("..."))).otherwise(flat)

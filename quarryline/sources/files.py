@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,22 +16,42 @@ DOCUMENT = f"id long, {SYMBOL}, text string"
 EDGE = "source string, target string, type string, line int, file string"
 
 
-def _relative(root: str, path: Column) -> Column:
-    base = re.escape(re.sub(r"^file:/*", "/", root.rstrip("/")))
-    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), rf"^[A-Za-z0-9+.-]*:?/*{base.lstrip('/')}/", "")
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """(file, uri, size) of all files below ``root``, listed by the driver through Hadoop's file system.
+
+    Spark's own readers pass over names that begin with an underscore, as ``__init__.py`` does.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    top = system.makeQualified(top)
+    base, found, each = str(top).rstrip("/") + "/", [], system.listFiles(top, True)
+    while each.hasNext():
+        status = each.next()
+        uri = str(status.getPath())
+        found.append((uri.removeprefix(base), uri, status.getLen()))
+    return spark.createDataFrame(found, "file string, uri string, size long")
 
 
 def scan_tree(spark: SparkSession, root: str, pruned: tuple[str, ...] = config.PRUNED) -> DataFrame:
     """(file, size) of all files below ``root`` but for those under a pruned folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"))
-    files = files.select(_relative(root, F.col("path")).alias("file"), "size")
-    return files.where(~F.arrays_overlap(F.split("file", "/"), F.array(*[F.lit(p) for p in pruned])))
+    return _listed(spark, root).where(~F.arrays_overlap(F.split("file", "/"), F.array(*[F.lit(p) for p in pruned]))).select("file", "size")
 
 
 def read_sources(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
-    """(file, text) of every source file below ``root``; paths are relative, with ``/``."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(root)
-    return files.select(_relative(root, F.col("_metadata.file_path")).alias("file"), F.col("value").alias("text"))
+    """(file, text) of every source file below ``root``; paths are relative, with ``/``. Executors read the texts."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in frames:
+            texts = []
+            for uri in frame["uri"]:
+                system, path = fs.FileSystem.from_uri(uri)
+                with system.open_input_stream(path) as f:
+                    texts.append(f.read().decode("utf-8", "replace"))
+            yield pd.DataFrame({"file": frame["file"], "text": texts})
+
+    return _listed(spark, root).where(F.col("file").endswith(suffix)).mapInPandas(read, "file string, text string")
 
 
 def require(spark: SparkSession, path: str) -> str:
