@@ -54,9 +54,9 @@ def pair_table(words: DataFrame) -> list[float]:
     return [math.log(x / sum(row)) for row in table for x in row]
 
 
-def frequent_words(words: DataFrame, how_many: int) -> list[str]:
-    """The commonest words of four letters and more: ``how_many`` rows."""
-    top = words.where(F.length("word") >= 4).orderBy(F.desc("n"), "word").limit(how_many)
+def frequent_words(words: DataFrame, how_many: int, least: int = 5) -> list[str]:
+    """The commonest words of four letters and more that occur ``least`` times: at most ``how_many`` rows."""
+    top = words.where((F.length("word") >= 4) & (F.col("n") >= least)).orderBy(F.desc("n"), "word").limit(how_many)
     return sorted((r.word for r in top.collect()), key=lambda w: (-len(w), w))
 
 
