@@ -71,7 +71,62 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
 }
 
+#: The licence templates as SQL rows.
+_TEMPLATES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
+_FILE = r"'(?i)^(licen[cs]e|copying|notice)([._-].*)?$'"
+
 ORACLES = {
+    "op3_jaccard_join": r"""
+        WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+        runs AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i + 4], ' '))) ELSE [hash(array_to_string(w, ' '))] END) AS s
+            FROM words WHERE len(w) > 0),
+        sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n, sum(s::HUGEINT) AS one, bit_xor(s) AS two FROM runs GROUP BY doc_id),
+        links AS MATERIALIZED (
+            SELECT a.doc_id AS u, b.doc_id AS v FROM runs a JOIN runs b ON a.s = b.s AND a.doc_id <> b.doc_id
+            JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING count(*) >= 0.8 * (x.n + y.n - count(*)) - 1e-9),
+        reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+        least AS (SELECT u, min(v) AS low FROM reach GROUP BY u),
+        counts AS (SELECT u, count(*) AS n_links FROM links GROUP BY u),
+        reps AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY n, one, two) AS rep_id, n FROM sizes)
+        SELECT d.doc_id, least(d.doc_id, coalesce(low, d.doc_id)) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(rep_id, d.doc_id) AS rep_id, coalesce(n, 0)::INTEGER AS n_shingles
+        FROM documents d LEFT JOIN reps USING (doc_id) LEFT JOIN least ON least.u = d.doc_id LEFT JOIN counts ON counts.u = d.doc_id""",
+    "op4_license_scan": rf"""
+        WITH templates AS (SELECT * FROM (VALUES {_TEMPLATES}) v(template, license, text)),
+        tterms AS (SELECT template, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM templates),
+        vocabulary AS (SELECT DISTINCT term FROM tterms),
+        dterms AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'))) AS term FROM documents),
+        freq AS (SELECT v.term, count(d.doc_id) AS df FROM vocabulary v LEFT JOIN dterms d USING (term) GROUP BY v.term),
+        idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM freq),
+        tw AS (SELECT template, license, term, count(*) * any_value(idf) AS w FROM tterms JOIN idf USING (term) GROUP BY ALL),
+        weights AS (SELECT template, license, term, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS weight FROM tw),
+        named AS (
+            SELECT doc_id, lower(text) AS low, coalesce(source, 'unknown') AS a, coalesce(lang, 'unknown') AS b, CAST(doc_id // 100 AS VARCHAR) AS c,
+                   regexp_matches(split_part(text, chr(10), 1), '(?i)licen[cs]e') AS opens FROM documents),
+        files AS (
+            SELECT doc_id, low, CASE WHEN NOT opens THEN a || '/' || b || '/' || c || '/' || doc_id || '.txt' ELSE CASE doc_id % 3 WHEN 0 THEN a WHEN 1 THEN a || '/' || b ELSE a || '/' || b || '/' || c END || '/LICENSE.' || doc_id END AS path FROM named),
+        units AS (
+            SELECT doc_id, path, unnest(range(1, len(string_split(low, chr(10))) + 1)) AS line, unnest(string_split(low, chr(10))) AS unit FROM files
+            UNION ALL SELECT doc_id, path, 0, low FROM files WHERE contains(low, chr(10)) AND regexp_matches(string_split(path, '/')[-1], {_FILE})),
+        words AS (SELECT doc_id, path, line, term, count(*) AS tf FROM (SELECT doc_id, path, line, unnest(regexp_extract_all(unit, '[\p{{L}}\p{{N}}]+')) AS term FROM units) GROUP BY ALL),
+        weighed AS (SELECT words.*, tf * coalesce(idf, 1.0) AS w FROM words LEFT JOIN idf USING (term)),
+        norms AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
+        dots AS (SELECT doc_id, path, line, template, license, sum(w * weight) AS dot FROM weighed JOIN weights USING (term) GROUP BY ALL),
+        scored AS (SELECT dots.*, round(dot / norm, 6) AS score FROM dots JOIN norms USING (doc_id, line)),
+        own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, template) AS r FROM scored WHERE score >= 0.7) WHERE r = 1),
+        dirs AS (SELECT doc_id, path, array_to_string(string_split(path, '/')[1:-2], '/') AS dir FROM files),
+        given AS (
+            SELECT * FROM (SELECT dir, own.path, license, score, row_number() OVER (PARTITION BY dir ORDER BY score DESC, own.path) AS r FROM own JOIN dirs USING (doc_id)
+                           WHERE regexp_matches(string_split(own.path, '/')[-1], {_FILE})) WHERE r = 1),
+        climb AS (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS depth FROM (SELECT DISTINCT dir FROM dirs)),
+        lent AS (
+            SELECT climb.dir, arg_max(given.path, depth) AS path, arg_max(license, depth) AS license, arg_max(score, depth) AS score
+            FROM climb JOIN given ON given.dir = array_to_string(string_split(climb.dir, '/')[1:depth], '/') GROUP BY climb.dir)
+        SELECT d.doc_id, d.path, coalesce(own.license, lent.license) AS license, coalesce(own.score, lent.score) AS score, own.line::INTEGER AS line,
+               CASE WHEN own.line = 0 THEN 'file' WHEN own.line > 0 THEN 'header' WHEN lent.path IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+               CASE WHEN own.doc_id IS NULL THEN lent.path END AS license_file
+        FROM dirs d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN lent ON lent.dir = d.dir""",
     "op1_decontamination": r"""
         WITH doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
         item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
