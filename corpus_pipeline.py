@@ -57,8 +57,7 @@ STAGES = [
     ("shards", cut_shards),
 ]
 
-#: The language model is trained and the near-copy search is seeded by hashes that SQL lacks; tests hold the
-#: stages against brute force instead.
+#: The first stage is a trained model, which SQL cannot express; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
