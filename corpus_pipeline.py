@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from quarryline.llm import decontaminate, language, mixing, ngram_join, sharding
 from quarryline.runtime import written
 
-#: A document whose language is less certain than this is rejected.
-LEAST_SCORE = 0.5
+#: A document whose language is less certain than this is rejected: little more than chance among four. Short texts
+#: and texts in two languages score between this and a half.
+LEAST_SCORE = 0.3
 N_SHARDS = 24
 
 
