@@ -98,15 +98,20 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = 0.7) -> DataF
     weights = F.broadcast(spark.createDataFrame(vectors, "template int, license string, term string, weight double"))  # the templates only
     idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     lower = F.lower(F.col("text"))
+    marks = anchors(vectors, idf, threshold)
     has_anchor = F.lit(False)
-    for t in anchors(vectors, idf, threshold):
+    for t in marks:
         has_anchor = has_anchor | F.contains(F.col("unit"), F.lit(t))
+    # The substring test is cheap; the expression then asks for whole terms.
+    whole_term = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(marks) or '(?!)'})(?![\p{{L}}\p{{N}}])"
+    has_anchor = has_anchor & F.col("unit").rlike(whole_term)
 
     is_file = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME), F.lit(False))
     whole = F.when(is_file & F.contains(lower, F.lit("\n")), F.array(lower)).otherwise(F.array().cast("array<string>"))
     units = base.select("doc_id", "path", F.posexplode_outer(F.concat(whole, F.split(lower, "\n"))).alias("at", "unit"), F.size(whole).alias("ahead"))
     units = units.where(F.col("unit").isNotNull()).where(has_anchor).withColumn("line", F.when(F.col("at") < F.col("ahead"), 0).otherwise(F.col("at") - F.col("ahead") + 1)).drop("at", "ahead")
     words = units.select("doc_id", "path", "line", F.explode(terms(F.col("unit"))).alias("term")).groupBy("doc_id", "path", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = written(words, "licence-terms")
     rows_of = ["doc_id", "path", "line"]
     weighed = words.join(idfs, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
     # The norm travels as a sum over all the line's words; the products over the templates' terms only.
