@@ -11,7 +11,7 @@ from quarryline import config
 from quarryline.functions.text import tokenize
 from quarryline.runtime import written
 
-#: Up to this many rows, a table of queries or of their candidates is broadcast.
+#: Up to so many terms of all queries together, their table is broadcast.
 SMALL_ROWS = 100_000
 
 
@@ -34,11 +34,6 @@ class LexicalIndex:
         return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "corpus", "ids")))
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows; counts that many at most."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def build_index(docs: DataFrame, text="text", keep: bool = True) -> LexicalIndex:
     """Index (id, text). Statistics cover the whole vocabulary, which the floor of rare weights needs."""
     words = docs.select("id", F.explode_outer(tokenize(F.coalesce(F.col(text), F.lit("")))).alias("term"))
@@ -50,10 +45,13 @@ def build_index(docs: DataFrame, text="text", keep: bool = True) -> LexicalIndex
     postings = counts.where(F.col("term").isNotNull()).select("term", "id", "tf", "length")
     ids = counts.select("id", "length").distinct()
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if keep:
+        terms = written(terms, "terms")
     size = ids.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))
     raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     mean = terms.crossJoin(F.broadcast(size)).agg(F.avg(raw).alias("mean_raw"))  # one row each
-    return LexicalIndex(postings, terms, size.crossJoin(mean), ids)
+    corpus = size.crossJoin(mean)
+    return LexicalIndex(postings, terms, written(corpus, "corpus") if keep else corpus, ids)
 
 
 def scores(index: LexicalIndex, queries: DataFrame, k1: float = config.BM25_K1, b: float = config.BM25_B, epsilon: float = config.BM25_EPSILON) -> DataFrame:
@@ -66,7 +64,10 @@ def scores(index: LexicalIndex, queries: DataFrame, k1: float = config.BM25_K1,
     corpus = F.broadcast(index.corpus)  # one row
     raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     weighed = asked.join(index.terms, "term").crossJoin(corpus).withColumn("idf", F.when(raw < 0, epsilon * F.col("mean_raw")).otherwise(raw))
-    hits = index.postings.join(small(weighed.select("qid", "term", "times", "idf", "avgdl")), "term")
+    weighed = weighed.select("qid", "term", "times", "idf", "avgdl")
+    # At most as many rows as the queries have different terms, which is counted without the index.
+    few = asked.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    hits = index.postings.join(F.broadcast(weighed) if few else weighed, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
     return hits.groupBy("qid", "id").agg(F.sum(part).alias("score"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -39,7 +41,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines see: ``spark.checkpoint.dir``, or a local one where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = f"file://{tempfile.gettempdir()}/quarryline-shared"
+        folder = tempfile.mkdtemp(prefix="quarryline-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
