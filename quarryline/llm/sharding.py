@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quarryline.runtime import written
 
 _LOW = (1 << 33) - 1
+#: Up to so many values of a label, its table of positions is broadcast.
+BROADCAST_VALUES = 50_000
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -81,7 +83,7 @@ def hilbert_shards(
     """
     spark = rows.sparkSession
     clash = [c for c in ("curve", "shard", "slot", "_cell", "_at", "_first", "_n") if c in rows.columns]
-    rows = rows.drop(*clash)
+    base = rows = rows.drop(*clash)
     if group:
         lead = rows.groupBy(F.col(group).alias("_g")).agg(F.min(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(("doc_id", *labels, size))])).alias("_lead"))
         rows = rows.join(lead, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
@@ -90,7 +92,9 @@ def hilbert_shards(
         value = {c: F.col(c) for c in (*labels, size)}
     cell = log_position(value[size], bits)
     for i, c in enumerate(labels):
-        places = rank_positions(rows, c, bits).select(F.col("value").alias(f"_v{i}"), F.col("position").alias(f"_p{i}"))
+        places = written(rank_positions(base, c, bits).select(F.col("value").alias(f"_v{i}"), F.col("position").alias(f"_p{i}")), "places")
+        # A label with few values is joined without moving the rows; one with many has no hot value to speak of.
+        places = F.broadcast(places) if places.count() <= BROADCAST_VALUES else places
         rows = rows.join(places, value[c].eqNullSafe(F.col(f"_v{i}")), "left").drop(f"_v{i}")
         cell = cell + F.coalesce(f"_p{i}", F.lit(0)) * (1 << (bits * (i + 1)))
     dims = len(labels) + 1
