@@ -2,8 +2,9 @@
 
 A candidate is a maximal run of at least ``MIN_LENGTH`` key characters. Features: its length and classes of
 characters, the transitions between them and their mean log probability under the corpus' letter pairs, the share
-of it that words of the corpus cover, the path, and the words and marks beside it. The pair model and the word
-list are statistics of all documents. The forest is trained on a table of labelled findings.
+of it that words of the corpus cover, the path, and the words and marks beside it. The pair model and the
+vocabulary are statistics of all documents, and every word of the vocabulary counts: the substrings of each
+distinct run of letters are joined to it. The forest is trained on a table of labelled findings.
 
 Everything is built from DataFrame functions and Spark's own forest, which runs in the JVM.
 """
@@ -28,6 +29,12 @@ BESIDE = 40
 NAMES = r"(?i)(secret|token|passw|pwd|api.?key|access.?key|auth|credential|private)"
 ASSIGNED = r"[=:]\s*[\"'`]?$"
 SAMPLES = r"(?i)(test|example|sample|fixture|mock|doc)"
+#: Letters of a word that can cover a part of a candidate.
+WORD_LENGTHS = (4, 15)
+#: A vocabulary of at most so many words is broadcast; larger ones are joined by shuffle.
+BROADCAST_WORDS = 200_000
+#: Positions of a run of letters that become substrings from one row.
+_PIECE = 1000
 #: Letters are classes of their own; 26 stands for digits, 27 for the rest.
 _CLASSES = 28
 FEATURES = ("length", "digits", "upper", "lower", "marks", "changes", "variety", "pair_score", "covered", "named", "assigned", "quoted", "sample_path", "path_depth", "before_words")
@@ -39,8 +46,12 @@ def _class(c: Column) -> Column:
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents: lower-case runs of 2 to 15 Latin letters."""
-    words = docs.select(F.explode_outer(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("word"))
+    """(word, n) over all documents: lower-case runs of 2 to 15 Latin letters outside candidates.
+
+    Letters within keys are no words: a key in many documents would cover itself.
+    """
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), rf"(?<![A-Za-z0-9+/_=-]){CANDIDATE}", " ")
+    words = docs.select(F.explode_outer(F.split(F.lower(text), "[^a-z]+")).alias("word"))
     return words.where(F.length("word").between(2, 15)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -54,10 +65,36 @@ def pair_table(words: DataFrame) -> list[float]:
     return [math.log(x / sum(row)) for row in table for x in row]
 
 
-def frequent_words(words: DataFrame, how_many: int, least: int = 5) -> list[str]:
-    """The commonest words of four letters and more that occur ``least`` times: at most ``how_many`` rows."""
-    top = words.where((F.length("word") >= 4) & (F.col("n") >= least)).orderBy(F.desc("n"), "word").limit(how_many)
-    return sorted((r.word for r in top.collect()), key=lambda w: (-len(w), w))
+def covering_words(words: DataFrame, least: int = 5) -> DataFrame:
+    """(word): all words of four letters and more that occur ``least`` times."""
+    return words.where((F.length("word") >= WORD_LENGTHS[0]) & (F.col("n") >= least)).select("word")
+
+
+def _digest(name: str) -> Column:
+    """16 bytes in place of a text of any length."""
+    return F.substring(F.unhex(F.sha2(name, 256)), 1, 16)
+
+
+def covered_letters(found: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, letters) per distinct ``key``, candidate of ``found``: letters within words, the first and longest first.
+
+    Words are letters only, so each distinct run of letters is read once, whatever candidates it stands in.
+    """
+    low, high = WORD_LENGTHS
+    runs = found.select("key", "candidate").dropDuplicates(["key"]).select("key", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit(rf"[a-z]{{{low},}}"), F.lit(0))).alias("run"))
+    runs = runs.groupBy("key", _digest("run").alias("run_key")).agg(F.first("run").alias("run"), F.count(F.lit(1)).alias("times"))
+    # Long runs are cut into overlapping pieces first, so that no row carries a long run for each of its positions.
+    piece = lambda at: F.struct(at.alias("at"), F.substr("run", at, F.lit(_PIECE + high - 1)).alias("piece"))
+    parts = runs.select("run_key", "run").dropDuplicates(["run_key"]).select("run_key", F.explode(F.transform(F.sequence(F.lit(1), F.length("run"), F.lit(_PIECE)), piece)).alias("p")).select("run_key", "p.*")
+    last = F.least(F.length("piece") - low + 1, F.lit(_PIECE))
+    parts = parts.where(F.length("piece") >= low).select("run_key", "at", "piece", F.explode(F.sequence(F.lit(1), last)).alias("i"))
+    lengths = F.sequence(F.lit(low), F.least(F.lit(high), F.length("piece") - F.col("i") + 1))
+    parts = parts.select("run_key", (F.col("at") + F.col("i")).alias("start"), F.explode(F.transform(lengths, lambda n: F.substr("piece", F.col("i"), n))).alias("word"))
+    hits = parts.join(words, "word").groupBy("run_key").agg(F.sort_array(F.collect_list(F.struct("start", (-F.length("word")).alias("less")))).alias("hits"))
+    step = lambda end, letters: F.struct(end.cast("int").alias("end"), letters.cast("int").alias("letters"))
+    read = F.aggregate("hits", step(F.lit(0), F.lit(0)), lambda a, h: F.when(h["start"] >= a["end"], step(h["start"] - h["less"], a["letters"] - h["less"])).otherwise(a))
+    hits = hits.select("run_key", read["letters"].alias("letters"))
+    return runs.select("key", "run_key", "times").join(hits, "run_key").groupBy("key").agg(F.sum(F.col("times") * F.col("letters")).alias("letters"))
 
 
 def candidates(files: DataFrame) -> DataFrame:
@@ -78,8 +115,14 @@ def candidates(files: DataFrame) -> DataFrame:
     return rows.select("doc_id", "path", (ahead + F.col("gap")).cast("long").alias("start"), "candidate", "before", "after")
 
 
-def features(found: DataFrame, pairs: list[float], words: list[str]) -> DataFrame:
-    """``found`` (candidate, before, after, path) with one column per feature."""
+def _table(spark: SparkSession, words: DataFrame | list[str]) -> DataFrame:
+    return words if isinstance(words, DataFrame) else spark.createDataFrame([(w,) for w in words], "word string")
+
+
+def features(found: DataFrame, pairs: list[float], words: DataFrame | list[str]) -> DataFrame:
+    """``found`` (candidate, before, after, path) with one column per feature; ``words`` is a table (word) or a list."""
+    found = found.withColumn("key", _digest("candidate"))
+    found = found.join(covered_letters(found, _table(found.sparkSession, words)), "key", "left")
     c = F.col("candidate")
     n = F.length(c).cast("double")
     table = F.array(*[F.lit(float(x)) for x in pairs])
@@ -89,7 +132,6 @@ def features(found: DataFrame, pairs: list[float], words: list[str]) -> DataFram
         return F.aggregate(F.sequence(F.lit(1), F.size(classes) - 1), F.lit(0.0), lambda total, i: total + F.get(table, F.get(classes, i - 1) * _CLASSES + F.get(classes, i)))
 
     bound = F.transform(F.array(F.transform(letters, _class)), score)[0]
-    rest = F.length(F.regexp_replace(F.lower(c), "|".join(words) if words else "(?!)", "")).cast("double")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
     path = F.coalesce("path", F.lit(""))
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
@@ -103,7 +145,7 @@ def features(found: DataFrame, pairs: list[float], words: list[str]) -> DataFram
             "changes": share("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"),
             "variety": F.size(F.array_distinct(letters)) / F.least(n, F.lit(64.0)),
             "pair_score": bound / F.greatest(n - 1, F.lit(1.0)),
-            "covered": 1 - rest / n,
+            "covered": F.coalesce("letters", F.lit(0)) / n,
             "named": flag(F.col("before").rlike(NAMES)),
             "assigned": flag(F.col("before").rlike(ASSIGNED)),
             "quoted": flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
@@ -111,17 +153,21 @@ def features(found: DataFrame, pairs: list[float], words: list[str]) -> DataFram
             "path_depth": F.regexp_count(path, F.lit("/")).cast("double"),
             "before_words": F.regexp_count(F.coalesce("before", F.lit("")), F.lit("[A-Za-z]{2,}")).cast("double"),
         }
-    )
+    ).drop("key", "letters")
+
 
+def labelled_findings(spark: SparkSession, words: DataFrame | list[str], n: int = 4000) -> DataFrame:
+    """(candidate, before, after, path, label): findings made by rule from hashes and the corpus' words.
 
-def labelled_findings(spark: SparkSession, words: list[str], n: int = 4000) -> DataFrame:
-    """(candidate, before, after, path, label): findings made by rule from hashes and the corpus' frequent words.
+    The words are drawn from the whole of ``words``, a table (word) or a list, at least one for every place of a word.
 
     Secrets are random strings in the alphabets of keys, with or without a name before them; the others are
     words run together, in capitals or joined by marks, card and serial numbers, fillers and digests named as such.
     """
     ids = spark.range(n).withColumns({"hex": F.sha2(F.col("id").cast("string"), 256), "kind": F.pmod(F.xxhash64("id"), F.lit(12)), "form": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4))})
-    dictionary = F.array(*[F.lit(w) for w in words or ["word", "text", "line"]])
+    drawn = _table(spark, words).orderBy(F.xxhash64("word"), "word").limit(16 * n).agg(F.sort_array(F.collect_list("word")).alias("drawn"))
+    ids = ids.crossJoin(F.broadcast(drawn))  # one row
+    dictionary = F.when(F.size("drawn") > 0, F.col("drawn")).otherwise(F.array(F.lit("word"), F.lit("text"), F.lit("line")))
     pick = lambda k: F.element_at(dictionary, (F.pmod(F.xxhash64("id", F.lit(k)), F.size(dictionary)) + 1).cast("int"))
     b64 = F.translate(F.base64(F.unhex("hex")), "\n", "")
     joined = lambda mark: F.concat_ws(mark, *[pick(k) for k in range(10, 15)])
@@ -158,20 +204,24 @@ def train_forest(rows: DataFrame, trees: int = 20, depth: int = 6, seed: int = 7
     return RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(assembled(rows))
 
 
-def scan(files: DataFrame, findings: DataFrame | None = None, dictionary: int = 120, threshold: float = 0.5) -> DataFrame:
+def scan(files: DataFrame, findings: DataFrame | None = None, least: int = 5, threshold: float = 0.5) -> DataFrame:
     """One row per candidate: doc_id, path, start, length, preview, digest, score, is_secret.
 
     ``files`` has doc_id, path and text; ``findings`` replaces the built-in labelled table (candidate, before,
     after, path, label). ``start`` counts code points from 0; ``preview`` shows the first four characters and
-    ``digest`` is the SHA-256 of the candidate. Whole texts are read; null and empty ones have no candidate. A
+    ``digest`` is the SHA-256 of the candidate. Words that occur ``least`` times cover candidates. Whole texts are read; null and empty ones have no candidate. A
     null path has no features of its own. Repeated rows count once. Empty tables give no rows; other columns
     are ignored.
     """
     words = written(vocabulary(files), "vocabulary")
-    pairs, common = pair_table(words), frequent_words(words, dictionary)
-    labelled = findings if findings is not None else labelled_findings(files.sparkSession, common)
-    forest = train_forest(features(labelled, pairs, common).cache())
-    scored = forest.transform(assembled(features(candidates(files), pairs, common)))
+    pairs, known = pair_table(words), covering_words(words, least)
+    labelled = findings if findings is not None else labelled_findings(files.sparkSession, known)
+    if known.count() <= BROADCAST_WORDS:
+        known = F.broadcast(known)
+    # Fixed places of the rows keep the forest's draws the same in every run.
+    rows = features(labelled, pairs, known).repartition(16, "candidate", "before", "after", "path").sortWithinPartitions("candidate", "before", "after", "path", "label")
+    forest = train_forest(rows.cache())
+    scored = forest.transform(assembled(features(written(candidates(files), "candidates"), pairs, known)))
     chance = F.round(vector_to_array("probability")[1], 6)
     return scored.select(
         "doc_id",

@@ -228,6 +228,30 @@ def test_forest_holds_on_fresh_findings(spark):
     assert said.where("prediction = label").count() / said.count() >= 0.97
 
 
+def test_all_words_of_the_corpus_cover_candidates(spark, monkeypatch):
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choice("aeiou" if k % 2 else "bdfgklmnprst") for k in range(rng.randrange(5, 9))) for _ in range(700)})
+    rare = words[-6:]
+    text = " ".join(w for w in words for _ in range(5 if w in rare else 9))
+    key = "9f86d081884c7d659a2feabcdaadbeefdeadbeef"
+    rows = [(1, text, None), (2, "".join(rare), None), (3, "-".join(rare).upper(), None)] + [(k, f"token {key}", None) for k in range(4, 12)]
+    kept, plain = [], secrets.features
+    monkeypatch.setattr(secrets, "features", lambda *given: kept.append(plain(*given)) or kept[-1])
+    secrets.scan(docs(spark, rows)).collect()
+    got = {r.doc_id: r.covered for r in kept[-1].where("doc_id <= 4").collect()}
+    assert got[2] == 1 and got[3] == pytest.approx(1 - 5 / len("-".join(rare))) and got[4] == 0
+
+
+def test_letters_are_covered_as_by_the_longest_words_first(spark):
+    rng = random.Random(13)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(4, 8))) for _ in range(40)})
+    found = ["".join(rng.choice("ab" * 9 + "A1-") for _ in range(rng.choice([16, 40, 300, 3000]))) for _ in range(60)]
+    table = spark.createDataFrame([(c, c) for c in found], "key string, candidate string")
+    got = {r.key: r.letters for r in secrets.covered_letters(table, spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    pattern = "|".join(sorted(words, key=lambda w: -len(w)))
+    assert {c: got.get(c, 0) for c in found} == {c: len(c) - len(re.sub(pattern, "", c.lower())) for c in found}
+
+
 # --- quality -------------------------------------------------------------------------------------------------
 
 
