@@ -20,6 +20,8 @@ from quarryline.runtime import written
 
 #: Bins for the search of the k-th largest sum; only the bin that holds it is ranked.
 BINS = 4096
+#: At most so many ids of good documents are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def gram_slots(texts: list[str], slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,11 +111,11 @@ def top_k(rows: DataFrame, by: str, k: int, ties: tuple[str, ...]) -> DataFrame:
     return rows.where(F.col("_bin") != cut).withColumn("selected", F.col("_bin") > cut).unionByName(inside).drop("_bin")
 
 
-def resample(docs: DataFrame, labels: DataFrame, slots: int = 1 << 14, sample: int = 50_000, share: float | None = None, seed: int = 11) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, slots: int = 1 << 14, share: float | None = None, seed: int = 11) -> DataFrame:
     """One row per input row: doc_id, log_ratio, sampling_key, selected.
 
-    The target model is fitted on the texts of up to ``sample`` documents that all their labels call good
-    (quality 1, not toxic), those with the smallest hashes of their ids; the raw model on all documents.
+    The target model is fitted on the texts of every document that all its labels call good (quality 1, not
+    toxic); the raw model on all documents.
     ``share`` of all rows is selected; by default the share of good ones among the labelled. The noise
     depends on ``seed`` and doc_id only. Null and empty texts have log_ratio 0. Without labels no row is
     preferred and all are selected. Ties go to the smaller doc_id. An empty table gives no rows; other
@@ -124,8 +126,8 @@ def resample(docs: DataFrame, labels: DataFrame, slots: int = 1 << 14, sample: i
     total, n_good = judged.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0))).first()
     if share is None:
         share = n_good / total if total and n_good else 1.0
-    # Bounded by ``sample``.
-    chosen = F.broadcast(judged.where("good").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    chosen = judged.where("good").select("doc_id")
+    chosen = F.broadcast(chosen) if n_good <= BROADCAST_ROWS else chosen.hint("merge")
     target = gram_totals(docs.join(chosen, "doc_id", "left_semi"), slots)
     rows = importance(docs, log_ratios(target, gram_totals(docs, slots)))
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(1 << 53)

@@ -270,6 +270,17 @@ def test_resampling_prefers_good_text(spark):
     assert {r.log_ratio for r in got if r.doc_id in (500, 501)} == {0.0}
 
 
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_target_model_counts_every_good_document(spark, monkeypatch, limit):
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", limit, raising=False)
+    sums, plain = [], quality.gram_totals
+    monkeypatch.setattr(quality, "gram_totals", lambda *given: sums.append(plain(*given)) or sums[-1])
+    rows = spark.range(61_000).select(F.col("id").alias("doc_id"), F.lit("alpha").alias("text"))
+    labels = rows.select("doc_id", (F.col("doc_id") < 60_000).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.resample(rows, labels).count() == 61_000
+    assert sorted(int(s.sum()) for s in sums) == [60_000, 61_000]
+
+
 def test_resampling_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.resample(docs(spark, []), none).count() == 0
