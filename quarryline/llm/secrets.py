@@ -1,6 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a maximal run of at least ``MIN_LENGTH`` key characters. Features: its length and classes of
+A candidate is a maximal run of at least ``MIN_LENGTH`` key characters, or a value of at least ``MIN_VALUE`` characters
+of any kind but blanks and quotes that is assigned to a name of a secret. Features: its length and classes of
 characters, the transitions between them and their mean log probability under the corpus' letter pairs, the share
 of it that words of the corpus cover, the path, and the words and marks beside it. The pair model and the
 vocabulary are statistics of all documents, and every word of the vocabulary counts: the substrings of each
@@ -28,6 +29,11 @@ BESIDE = 40
 #: Words that name a secret, marks of a value, places of samples.
 NAMES = r"(?i)(secret|token|passw|pwd|api.?key|access.?key|auth|credential|private)"
 ASSIGNED = r"[=:]\s*[\"'`]?$"
+#: A secret's name and the mark that assigns a value to it; lengths are bounded, so that it can stand behind a value.
+GIVEN = r"(?:secret|token|passw|pwd|api.?key|access.?key|auth|credential|private)[A-Za-z0-9_.-]{0,40}[\"'`]?\s{0,4}[=:]\s{0,4}"
+MIN_VALUE = 6
+#: A quoted value is whole; one without quotes does not end in punctuation.
+VALUE = rf"(?<=(?i:{GIVEN})[\"'`])[^\s\"'`]{{{MIN_VALUE},}}|(?<=(?i:{GIVEN}))[^\s\"'`]{{{MIN_VALUE - 1},}}[^\s\"'`.,;:)\]}}>]"
 SAMPLES = r"(?i)(test|example|sample|fixture|mock|doc)"
 #: Letters of a word that can cover a part of a candidate.
 WORD_LENGTHS = (4, 15)
@@ -37,7 +43,7 @@ BROADCAST_WORDS = 200_000
 _PIECE = 1000
 #: Letters are classes of their own; 26 stands for digits, 27 for the rest.
 _CLASSES = 28
-FEATURES = ("length", "digits", "upper", "lower", "marks", "changes", "variety", "pair_score", "covered", "named", "assigned", "quoted", "sample_path", "path_depth", "before_words")
+FEATURES = ("length", "digits", "upper", "lower", "marks", "others", "changes", "variety", "pair_score", "covered", "named", "assigned", "quoted", "sample_path", "path_depth", "before_words")
 
 
 def _class(c: Column) -> Column:
@@ -98,21 +104,38 @@ def covered_letters(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def candidates(files: DataFrame) -> DataFrame:
-    """(doc_id, path, start, candidate, before, after): every candidate of every whole text, in code points from 0.
+    """(doc_id, path, text_key, start, candidate, before, after): every run of key characters, from 0 in code points."""
+    return matches(files, CANDIDATE)
+
+
+def assigned_values(files: DataFrame) -> DataFrame:
+    """Like ``candidates``, every value that is assigned to a name of a secret."""
+    return matches(files.where(F.coalesce("text", F.lit("")).rlike(f"(?i){GIVEN}")), VALUE)
+
+
+def all_candidates(files: DataFrame) -> DataFrame:
+    """Both kinds of candidates; a span that is of both kinds is one row, with the neighbourhood of the run."""
+    both = candidates(files).withColumn("kind", F.lit(0)).unionByName(assigned_values(files).withColumn("kind", F.lit(1)))
+    both = both.groupBy("doc_id", "path", "text_key", "start", "candidate").agg(F.min(F.struct("kind", "before", "after")).alias("beside"))
+    return both.select("doc_id", "path", "start", "candidate", "beside.before", "beside.after")
+
+
+def matches(files: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, path, text_key, start, candidate, before, after): every match in every whole text.
 
     ``split`` and ``regexp_extract_all`` give what lies between and the candidates; running sums of their lengths
     give the positions. Rows with one doc_id, path and text are one file.
     """
     text = F.coalesce("text", F.lit(""))
     # Few texts can hold a candidate at all when they have no long run; the others end here.
-    rows = files.where(text.rlike(CANDIDATE)).select("doc_id", "path", F.xxhash64(text).alias("key"), F.split(text, CANDIDATE, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"))
+    rows = files.where(text.rlike(pattern)).select("doc_id", "path", F.xxhash64(text).alias("key"), F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     cut = lambda g: F.struct(F.length(g).alias("length"), F.right(g, F.lit(BESIDE)).alias("tail"), F.left(g, F.lit(BESIDE)).alias("head"))
     rows = rows.select("doc_id", "path", "key", F.posexplode_outer(F.arrays_zip(F.transform("gaps", cut).alias("gap"), F.col("found").alias("found"), F.slice(F.transform("gaps", cut), F.lit(2), F.size("gaps")).alias("next"))).alias("i", "x"))
     rows = rows.select("doc_id", "path", "key", "i", F.col("x.gap.length").alias("gap"), F.col("x.gap.tail").alias("before"), F.col("x.found").alias("candidate"), F.col("x.next.head").alias("after")).where(F.col("candidate").isNotNull())
     rows = rows.dropDuplicates(["doc_id", "path", "key", "i"])
     run = Window.partitionBy("doc_id", "path", "key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.coalesce(F.sum(F.col("gap") + F.length("candidate")).over(run), F.lit(0))
-    return rows.select("doc_id", "path", (ahead + F.col("gap")).cast("long").alias("start"), "candidate", "before", "after")
+    return rows.select("doc_id", "path", F.col("key").alias("text_key"), (ahead + F.col("gap")).cast("long").alias("start"), "candidate", "before", "after")
 
 
 def _table(spark: SparkSession, words: DataFrame | list[str]) -> DataFrame:
@@ -142,6 +165,7 @@ def features(found: DataFrame, pairs: list[float], words: DataFrame | list[str])
             "upper": share("[A-Z]"),
             "lower": share("[a-z]"),
             "marks": share("[+/_=-]"),
+            "others": share(r"[^A-Za-z0-9+/_=-]"),
             "changes": share("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"),
             "variety": F.size(F.array_distinct(letters)) / F.least(n, F.lit(64.0)),
             "pair_score": bound / F.greatest(n - 1, F.lit(1.0)),
@@ -163,8 +187,9 @@ def labelled_findings(spark: SparkSession, words: DataFrame | list[str], n: int
 
     Secrets are random strings in the alphabets of keys, with or without a name before them; the others are
     words run together, in capitals or joined by marks, card and serial numbers, fillers and digests named as such.
+    Short or dotted values assigned to a secret's name are secrets when they are random, none when they are words.
     """
-    ids = spark.range(n).withColumns({"hex": F.sha2(F.col("id").cast("string"), 256), "kind": F.pmod(F.xxhash64("id"), F.lit(12)), "form": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4))})
+    ids = spark.range(n).withColumns({"hex": F.sha2(F.col("id").cast("string"), 256), "kind": F.pmod(F.xxhash64("id"), F.lit(15)), "form": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4))})
     drawn = _table(spark, words).orderBy(F.xxhash64("word"), "word").limit(16 * n).agg(F.sort_array(F.collect_list("word")).alias("drawn"))
     ids = ids.crossJoin(F.broadcast(drawn))  # one row
     dictionary = F.when(F.size("drawn") > 0, F.col("drawn")).otherwise(F.array(F.lit("word"), F.lit("text"), F.lit("line")))
@@ -184,15 +209,19 @@ def labelled_findings(spark: SparkSession, words: DataFrame | list[str], n: int
         .when(F.col("kind") == 8, F.concat(joined("/"), F.lit("/"), pick(20)))
         .when(F.col("kind") == 9, F.substring(numbers, 1, 16))
         .when(F.col("kind") == 10, F.concat(pick(21), F.repeat(F.substring("hex", 1, 1), 20)))
-        .otherwise(joined("_"))
+        .when(F.col("kind") == 11, joined("_"))
+        .when(F.col("kind") == 12, F.concat(F.initcap(F.substring(pick(22), 1, 4)), F.substring(numbers, 1, 2), F.element_at(F.array(*[F.lit(x) for x in "!@$%&#.?"]), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(8)).cast("int") + 1), F.substring(b64, 1, F.col("form").cast("int") + 3)))
+        .when(F.col("kind") == 13, F.concat_ws(".", F.substring(b64, 1, 20), F.substring(b64, 5, 30), F.substring(b64, 9, 27)))
+        .otherwise(F.when(F.col("form") < 3, F.concat(pick(23), F.lit("ly"))).otherwise(F.concat(pick(23), F.lit("."), pick(24))))
     )
-    secret = F.col("kind") <= 4
+    value = F.col("kind") >= 12
+    secret = (F.col("kind") <= 4) | F.col("kind").isin(12, 13)
     names = F.element_at(F.array(*[F.lit(x) for x in ("token = \"", "secret: \"", "api_key='", "password=\"")]), F.col("form").cast("int") + 1)
-    named = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(3)) > 0
-    before = F.concat(pick(30), F.lit(" "), pick(31), F.lit(" "), F.when(secret & named, names).when(~secret & (F.col("form") == 0), F.lit("name = \"")).otherwise(F.lit("")))
+    named = value | (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(3)) > 0)
+    before = F.concat(pick(30), F.lit(" "), pick(31), F.lit(" "), F.when((secret | value) & named, names).when(~secret & (F.col("form") == 0), F.lit("name = \"")).otherwise(F.lit("")))
     after = F.concat(F.when(before.rlike("[\"']$"), F.substring(before, -1, 1)).otherwise(F.lit(" ")), pick(32))
     path = F.concat_ws("/", F.lit("src"), pick(33), F.when(~secret & (F.col("form") == 1), F.lit("tests")), F.concat(pick(34), F.lit(".txt")))
-    return ids.select(candidate.alias("candidate"), before.alias("before"), after.alias("after"), path.alias("path"), secret.cast("double").alias("label")).where(F.length("candidate") >= MIN_LENGTH)
+    return ids.select(candidate.alias("candidate"), before.alias("before"), after.alias("after"), path.alias("path"), secret.cast("double").alias("label")).where(F.length("candidate") >= F.when(value, MIN_VALUE).otherwise(MIN_LENGTH))
 
 
 def assembled(rows: DataFrame) -> DataFrame:
@@ -221,7 +250,7 @@ def scan(files: DataFrame, findings: DataFrame | None = None, least: int = 5, th
     # Fixed places of the rows keep the forest's draws the same in every run.
     rows = features(labelled, pairs, known).repartition(16, "candidate", "before", "after", "path").sortWithinPartitions("candidate", "before", "after", "path", "label")
     forest = train_forest(rows.cache())
-    scored = forest.transform(assembled(features(written(candidates(files), "candidates"), pairs, known)))
+    scored = forest.transform(assembled(features(written(all_candidates(files), "candidates"), pairs, known)))
     chance = F.round(vector_to_array("probability")[1], 6)
     return scored.select(
         "doc_id",

@@ -219,6 +219,14 @@ def test_secret_positions_are_exact(spark):
     assert {(r.doc_id, r.start, r.candidate) for r in secrets.candidates(table).collect()} == want
 
 
+def test_short_and_dotted_values_of_secret_names_are_found(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVP-mB92K27uhbUJU1p1r_wW1gFWFO"
+    rows = [(1, 'password = "Tr0ub4dor&3" here', None), (2, f"API_KEY: {jwt}.", None), (3, "pwd=x9$Kq2!a, next", None), (4, "password = 12", None), (5, "the token was lost", None), (6, "author: somebody " * 9, None)]
+    got = {(r.doc_id, r.start, r.length): r.is_secret for r in secrets.scan(docs(spark, rows)).collect()}
+    assert got[1, 12, 11] and got[2, 9, len(jwt)] and got[3, 4, 8]
+    assert not {d for d, _, _ in got} & {4, 5} and not any(v for (d, _, _), v in got.items() if d == 6)
+
+
 def test_forest_holds_on_fresh_findings(spark):
     words = ["ontion", "thersh", "reader", "lively", "houses", "paint", "water"]
     pairs = [float(np.log(0.05))] * (28 * 28)
