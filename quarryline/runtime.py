@@ -38,9 +38,11 @@ def ship_package() -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines see: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder that all machines see: ``spark.checkpoint.dir``. Only a local session may do without; it gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         folder = tempfile.mkdtemp(prefix="quarryline-shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         named = f"file://{folder}"
@@ -48,9 +50,35 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Files that one ``written`` table has at most, for each core of the cluster: small files cost more than they hold.
+FILES_PER_CORE = 8
+#: Folders that ``written`` has made and ``release`` has not deleted.
+_MADE: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``release`` deletes what is no longer read.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _MADE.append(path)
+    df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def made() -> tuple[str, ...]:
+    """The tables written so far, for ``release``."""
+    return tuple(_MADE)
+
+
+def release(spark: SparkSession, paths: tuple[str, ...] | None = None, but: DataFrame | None = None) -> None:
+    """Delete tables that ``written`` has made: all, or those of ``paths``, without the files that ``but`` reads."""
+    spared = {f.rsplit("/", 2)[-2] for f in but.inputFiles()} if but is not None else set()
+    for path in paths if paths is not None else tuple(_MADE):
+        if path.rsplit("/", 1)[-1] not in spared:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            if path in _MADE:
+                _MADE.remove(path)
