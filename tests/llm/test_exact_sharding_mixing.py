@@ -40,7 +40,8 @@ def test_exact_matches_brute_force_on_hard_rows(spark):
 
 def test_directory_splits_only_overfull_buckets(spark):
     rows = [(k, f"text {k}", None) for k in range(400)]
-    index = exact_dedup.build_index(docs(spark, rows), capacity=16, max_depth=10)
+    frame = docs(spark, rows)
+    index, _, _ = exact_dedup.build_index(frame, exact_dedup.narrow_rows(frame), 16, 10)
     per = index.groupBy("bucket").agg(F.count("*").alias("n"), F.min("depth").alias("d"), F.max("depth").alias("e")).collect()
     assert max(r.n for r in per) <= 16 and all(r.d == r.e for r in per) and len(per) > 10
     assert sum(r.n for r in per) == 400
@@ -50,8 +51,28 @@ def test_directory_splits_only_overfull_buckets(spark):
         assert sum(x.n for x in per if low <= x.bucket < low + (1 << (10 - r.d + 1))) > 16
 
 
+def test_rows_reach_their_entry_only_through_the_directory(spark):
+    frame = docs(spark, [(k, f"text {k % 90}", None) for k in range(200)])
+    rows = exact_dedup.narrow_rows(frame)
+    index, directory, bits = exact_dedup.build_index(frame, rows, 8, 8)
+    assert exact_dedup.probe(rows, index, directory, bits).count() == 200
+    moved = directory.withColumn("bucket", F.col("bucket") + F.when(F.col("pointer") % 2 == 0, 1).otherwise(0))
+    assert exact_dedup.probe(rows, index, moved, bits).count() < 200
+
+
+def test_two_texts_of_one_digest_are_told_apart_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "_key", lambda bare: F.lit(7).cast("long"))
+    monkeypatch.setattr(exact_dedup, "_digest", lambda bare: F.unhex(F.lit("00")))
+    with pytest.raises(Exception, match="one SHA-256"):
+        exact_dedup.exact_duplicates(docs(spark, [(1, "a", None), (2, "b", None)])).collect()
+
+
+def test_pointers_grow_with_the_keys():
+    assert [exact_dedup.pointer_bits(n, 4096) for n in (0, 4096, 8192, 2**40)] == [4, 4, 5, exact_dedup.MAX_DEPTH]
+
+
 def test_colliding_keys_stay_apart(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    monkeypatch.setattr(exact_dedup, "_key", lambda bare: F.lit(7).cast("long"))
     got = exact_dedup.exact_duplicates(docs(spark, [(1, "a", None), (2, "b", None), (3, "a ", None)]), capacity=1)
     assert sorted((r.doc_id, r.keep_id, r.chain) for r in got.collect()) in ([(1, 3, 0), (2, 2, 1), (3, 3, 0)], [(1, 3, 1), (2, 2, 0), (3, 3, 1)])
 
