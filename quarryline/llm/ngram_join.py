@@ -1,16 +1,21 @@
 """N-gram Jaccard self-join by a MinHash LSH forest, verified exactly.
 
-1. *Sketch.* Each text's set of word shingles gives ``trees`` signatures. A tree is a prefix trie over its
-   signatures, kept as the hash of the signature's prefix. The prefix starts at ``max_depth`` values and is
-   shortened until a pair right at the threshold meets in some trie with the target probability.
+1. *Sketch.* Each text's set of word shingles gives ``trees`` signatures of ``max_depth`` MinHash values, one for each
+   trie of the forest. A trie keeps the hash of a signature's first ``floor`` values and one byte of each deeper value.
+   ``floor`` is the depth to which prefixes may be shortened: the longest at which a pair right at the threshold
+   meets in some trie with the target probability.
 2. *Copies.* Texts with one shingle set become one node, so copies are never expanded into pairs.
-3. *Candidates.* Nodes under one prefix of a trie are linked to its smallest node; components of these stars
-   hold every candidate pair.
-4. *Verification.* A component of at most ``block`` nodes meets in one unit of work, many small ones together.
-   Of a larger one, each prefix group is a unit; a group beyond ``block`` nodes is cut into hashed blocks, and
-   each pair of blocks is a unit. A unit intersects the sets of its candidate pairs and returns one row per
-   node: the number of its links and a neighbour that spans its local class. No pair becomes a row.
-5. *Classes.* Components of the spanning links.
+3. *Subtrees.* Nodes under one prefix of ``floor`` values are linked to the smallest of them; components of these
+   stars hold every candidate pair.
+4. *Descent.* A component of bounded size is one unit of work, many small ones together. Of a larger one, each subtree
+   is a unit; a subtree beyond the bounds is cut into hashed blocks, and each pair of blocks is a unit. A unit sorts
+   the signatures of each trie and takes the pairs with the longest common prefix first. Links found so far give, for
+   each item, the recall that its present prefix length reaches: a link of similarity s is met with probability
+   1 - (1 - s ** depth) ** trees, and one more link right at the threshold is assumed unseen. The prefix of an item is
+   shortened by one value at a time until that recall reaches the target; a pair is met while either item goes on.
+5. *Verification.* Sets of candidate pairs are intersected. A unit returns one row per node: the number of its links
+   and a neighbour that spans its local class. No pair becomes a row.
+6. *Classes.* Components of the spanning links.
 """
 
 from __future__ import annotations
@@ -27,10 +32,15 @@ from quarryline.llm.textnp import BASE, mixed, shingle_hashes, slices
 from quarryline.runtime import written
 
 
+def met(similarity, depth, trees: int):
+    """The probability that a pair shares a prefix of ``depth`` values in one of ``trees`` tries."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
 def match_depth(threshold: float, trees: int, max_depth: int, target: float) -> int:
     """The longest prefix at which a pair at the threshold is met with probability ``target``; 1 at least."""
     depth = max_depth
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
+    while depth > 1 and met(threshold, depth, trees) < target:
         depth -= 1
     return depth
 
@@ -42,23 +52,30 @@ def distinct_sets(texts: list[str], n: int) -> list[np.ndarray]:
     return [np.unique(hashes[e - c : e]) for e, c in zip(ends, counts, strict=True)]
 
 
-def prefix_keys(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
-    """(sets x trees) hashes of the signatures' prefixes; the sets must not be empty."""
+def signatures(sets: list[np.ndarray], trees: int, floor: int, max_depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sets x trees) hashes of the first ``floor`` values and (sets x trees x rest) a byte of each deeper value.
+
+    The sets must not be empty. Two deeper values agree by chance in one of 256 cases, which costs a needless
+    comparison and loses nothing.
+    """
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
     low = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    seeds = mixed(np.arange(1, 2 * trees * depth + 1, dtype=np.uint64))
-    out = np.zeros((len(sets), trees), np.uint64)
+    seeds = mixed(np.arange(1, 2 * trees * max_depth + 1, dtype=np.uint64))
+    keys, tails = np.zeros((len(sets), trees), np.uint64), np.zeros((len(sets), trees, max_depth - floor), np.uint8)
     for t in range(trees):
-        for d in range(depth):
-            k = t * depth + d
+        for d in range(max_depth):
+            k = t * max_depth + d
             salt, factor = np.uint32(seeds[2 * k] & np.uint64(0xFFFFFFFF)), np.uint32((seeds[2 * k + 1] & np.uint64(0xFFFFFFFF)) | np.uint64(1))
             least = np.minimum.reduceat((low ^ salt) * factor, starts)
-            out[:, t] = mixed(out[:, t] * np.uint64(BASE) + least + np.uint64(d))
-    return out
+            if d < floor:
+                keys[:, t] = mixed(keys[:, t] * np.uint64(BASE) + least + np.uint64(d))
+            else:
+                tails[:, t, d - floor] = mixed(least.astype(np.uint64)) >> np.uint64(56)
+    return keys, tails
 
 
-def sketch(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
-    """(doc_id, set_a, set_b, n_shingles, keys); keys is empty for texts without words."""
+def sketch(docs: DataFrame, n: int, trees: int, floor: int, max_depth: int) -> DataFrame:
+    """(doc_id, set_a, set_b, n_shingles, keys, tails); keys and tails are empty for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,15 +84,18 @@ def sketch(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
                 sets = distinct_sets(texts[a:b], n)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys: list[list[int]] = [[] for _ in sets]
+                tails = [b""] * len(sets)
                 if full:
-                    for i, row in zip(full, prefix_keys([sets[i] for i in full], trees, depth).view(np.int64), strict=True):
-                        keys[i] = row
+                    prefixes, rest = signatures([sets[i] for i in full], trees, floor, max_depth)
+                    for i, row, tail in zip(full, prefixes.view(np.int64), rest, strict=True):
+                        keys[i], tails[i] = row, tail.tobytes()
                 one = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 two = np.array([mixed(s ^ np.uint64(BASE)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 size = np.array([len(s) for s in sets], np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(one), pa.array(two), pa.array(size), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "set_a", "set_b", "n_shingles", "keys"])
+                columns = [ids.slice(a, b - a), pa.array(one), pa.array(two), pa.array(size), pa.array(keys, pa.list_(pa.int64())), pa.array(tails, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set_a", "set_b", "n_shingles", "keys", "tails"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, set_a long, set_b long, n_shingles int, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, set_a long, set_b long, n_shingles int, keys array<long>, tails binary")
 
 
 def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -93,80 +113,141 @@ def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
     return rows.select(*names, "text").mapInArrow(run, schema)
 
 
-def linked(nodes: np.ndarray, copies: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], groups: list[tuple[int, np.ndarray]], sides: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Number of linked documents and a spanning neighbour (as a position) of each node of a unit.
+def common_depth(keys: np.ndarray, tails: np.ndarray, a: int, others: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which tries ``a`` shares with each of ``others``, and the longest prefix that they share in one of them."""
+    same = keys[others] == keys[a]
+    deeper = np.cumprod(tails[others] == tails[a], axis=2, dtype=np.int8).sum(2)
+    return same, np.where(same, floor + deeper, 0).max(1)
+
+
+class Classes:
+    """Disjoint sets of positions; the root of each is the one with the smallest name."""
+
+    def __init__(self, names: np.ndarray) -> None:
+        self.names, self.parent = names, list(range(len(names)))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        x, y = self.root(i), self.root(j)
+        if x != y:
+            low, high = (x, y) if self.names[x] < self.names[y] else (y, x)
+            self.parent[high] = low
+
+
+def linked(
+    nodes: np.ndarray, copies: np.ndarray, keys: np.ndarray, tails: np.ndarray, sets: list[np.ndarray], groups: list[tuple[int, np.ndarray]], sides: np.ndarray | None, threshold: float, target: float, floor: int
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """Number of linked documents and a spanning neighbour (as a position) of each node of a unit, and the pairs met.
 
-    ``groups`` are (tree, positions) that share a prefix; tree -1 takes a pair whichever trie it meets in, any
+    ``groups`` are (tree, positions) that share a subtree; tree -1 takes a pair whichever trie it meets in, any
     other only the pairs that meet there first, so that units do not count a pair twice. With ``sides`` only
     pairs across the two sides count.
     """
+    trees, max_depth = keys.shape[1], floor + tails.shape[2]
+    depths = np.arange(floor, max_depth + 1)
+    unseen = 1 - met(threshold, depths, trees)
     size = np.array([len(s) for s in sets], np.int64)
     value, ids = np.unique(np.concatenate(sets), return_inverse=True)
     start = np.cumsum(size) - size
-    n_links, parent = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
-    mates: dict[int, list[np.ndarray]] = {}
+    candidates: dict[int, list[np.ndarray]] = {}
     for tree, at in groups:
         for i, a in enumerate(at[:-1]):
-            rest = at[i + 1 :]
-            if sides is not None:
-                rest = rest[sides[rest] != sides[a]]
-            if tree > 0 and len(rest):
-                rest = rest[~(keys[rest, :tree] == keys[a, :tree]).any(1)]
-            if len(rest):
-                mates.setdefault(int(a), []).append(rest)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    flag = np.zeros(len(value), np.int32)
-    for a, found in mates.items():
-        rest = np.unique(np.concatenate(found))
+            candidates.setdefault(int(a), []).append(at[i + 1 :])
+    # Pairs by the length of their longest common prefix.
+    levels: list[list[tuple[int, np.ndarray]]] = [[] for _ in depths]
+    only = next((t for t, _ in groups if t >= 0), -1)
+    for a, found in candidates.items():
+        others = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+        if sides is not None:
+            others = others[sides[others] != sides[a]]
         # A pair cannot reach the threshold if one set is too small for the other.
-        rest = rest[np.minimum(size[rest], size[a]) >= threshold * np.maximum(size[rest], size[a]) - 1e-9]
-        own = ids[start[a] : start[a] + size[a]]
-        flag[own] = 1
-        for k in range(0, len(rest), 256):
-            some = rest[k : k + 256]
-            sums = np.cumsum(size[some]) - size[some]
-            at = np.repeat(start[some] - sums, size[some]) + np.arange(int(size[some].sum()))
-            both = np.add.reduceat(flag[ids[at]], sums)
-            near = some[both >= threshold * (size[a] + size[some] - both) - 1e-9]
-            n_links[a] += copies[near].sum()
-            n_links[near] += copies[a]
-            for b in near:
-                x, y = root(a), root(int(b))
-                if x != y:
-                    low, high = (x, y) if nodes[x] < nodes[y] else (y, x)
-                    parent[high] = low
-        flag[own] = 0
-    return n_links, np.array([root(i) for i in range(len(nodes))], np.int64)
-
-
-def verify_unit(table: pa.Table, threshold: float) -> pa.Table:
-    """Rows (unit, node, copies, keys, tree, side, shingles) of one unit to rows (node, other, n_links)."""
+        others = others[np.minimum(size[others], size[a]) >= threshold * np.maximum(size[others], size[a]) - 1e-9]
+        for k in range(0, len(others), 1024):
+            some = others[k : k + 1024]
+            same, depth = common_depth(keys, tails, a, some, floor)
+            if only >= 0:
+                first = same.argmax(1) == only
+                some, depth = some[first], depth[first]
+            for d in np.unique(depth):
+                levels[d - floor].append((a, some[depth == d]))
+
+    n_links, n_met = np.zeros(len(nodes), np.int64), 0
+    links, missed, open_ = np.zeros(len(nodes)), np.zeros((len(depths), len(nodes))), np.ones(len(nodes), bool)
+    classes = Classes(nodes)
+    flag = np.zeros(len(value), np.int32)
+    for level in range(len(depths) - 1, -1, -1):
+        for a, others in levels[level]:
+            others = others if open_[a] else others[open_[others]]
+            if not len(others):
+                continue
+            n_met += len(others)
+            own = ids[start[a] : start[a] + size[a]]
+            flag[own] = 1
+            for k in range(0, len(others), 256):
+                some = others[k : k + 256]
+                sums = np.cumsum(size[some]) - size[some]
+                at = np.repeat(start[some] - sums, size[some]) + np.arange(int(size[some].sum()))
+                both = np.add.reduceat(flag[ids[at]], sums)
+                whole = size[a] + size[some] - both
+                close = both >= threshold * whole - 1e-9
+                near = some[close]
+                if len(near):
+                    chance = met((both[close] / whole[close])[None], depths[:, None], trees)
+                    lost = 1 / chance - 1
+                    missed[:, a] += lost.sum(1)
+                    missed[:, near] += lost
+                    links[a] += len(near)
+                    links[near] += 1
+                    n_links[a] += copies[near].sum()
+                    n_links[near] += copies[a]
+                    for b in near:
+                        classes.join(a, int(b))
+            flag[own] = 0
+        # Expected share of an item's links that prefixes of this length have met.
+        open_ &= links < target * (links + missed[level] + unseen[level])
+    return n_links, np.array([classes.root(i) for i in range(len(nodes))], np.int64), n_met
+
+
+def verify_unit(table: pa.Table, threshold: float, target: float, floor: int) -> pa.Table:
+    """Rows (unit, node, copies, keys, tails, tree, side, shingles) of one unit to rows (node, other, n_links)."""
     all_nodes = table.column("node").to_numpy()
     nodes, first, back = np.unique(all_nodes, return_index=True, return_inverse=True)
+    trees = len(table.column("keys")[0])
     keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(all_nodes), -1)[first]
-    copies = table.column("copies").to_numpy()[first]
-    blobs = table.column("shingles").take(pa.array(first))
-    sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in blobs]
+    take = lambda name: table.column(name).take(pa.array(first))
+    copies = take("copies").to_numpy()
+    tails = take("tails").to_pylist()
+    tails = np.frombuffer(b"".join(tails), np.uint8).reshape(len(nodes), trees, len(tails[0]) // trees)
+    sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in take("shingles")]
     tree, side = table.column("tree").to_numpy(), table.column("side").to_numpy()[first]
     groups: list[tuple[int, np.ndarray]] = []
     for t in np.unique(tree):
         at = np.unique(back[tree == t])
-        for k in range(keys.shape[1]) if t < 0 else [int(t)]:
-            order = at[np.argsort(keys[at, k], kind="stable")]
+        for k in range(trees) if t < 0 else [int(t)]:
+            # The trie in sorted order; equal keys are one subtree.
+            order = at[np.lexsort((*tails[at, k].T[::-1], keys[at, k]))]
             cut = np.flatnonzero(np.diff(keys[order, k])) + 1
             groups += [(int(t), np.sort(g)) for g in np.split(order, cut) if len(g) > 1]
-    n, root = linked(nodes, copies, keys, sets, groups, side if (side >= 0).any() else None, threshold)
+    # Units of several tries do not share pairs, so each trie's are met by themselves.
+    parts = [linked(nodes, copies, keys, tails, sets, [g for g in groups if g[0] == t], side if (side >= 0).any() else None, threshold, target, floor) for t in sorted({g[0] for g in groups})]
+    n = sum((p[0] for p in parts), np.zeros(len(nodes), np.int64))
+    classes = Classes(nodes)
+    for _, root, _ in parts:
+        for i, r in enumerate(root):
+            classes.join(i, int(r))
+    root = np.array([classes.root(i) for i in range(len(nodes))], np.int64)
     some = n > 0
     return pa.table({"node": nodes[some], "other": nodes[root[some]], "n_links": n[some]}, schema=pa.schema([("node", pa.int64()), ("other", pa.int64()), ("n_links", pa.int64())]))
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, max_depth: int = 8, target: float = 0.9999, block: int = 1000) -> DataFrame:
+def jaccard_classes(
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, max_depth: int = 8, target: float = 0.9999, block: int = 1000, unit_shingles: int = 1 << 20
+) -> DataFrame:
     """One row per input row: doc_id, class_id, n_links, rep_id, n_shingles.
 
     Two documents are linked if the sets of their ``n``-word shingles (lower-case runs of letters, digits and
@@ -174,28 +255,34 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees:
     documents, copies included; ``rep_id`` is the smallest doc_id with the same set; ``class_id`` is the
     smallest doc_id that chains of links reach. A text of fewer than ``n`` words has one shingle of all its
     words. Null and empty texts, and those without words, link to nothing. A repeated row
-    counts as a copy. Rows without doc_id take no part: their class_id and rep_id are null. An empty table gives no
-    rows; other columns are ignored.
+    counts as a copy. Rows without doc_id take no part: their class_id and rep_id are null; ids must be integers. An
+    empty table gives no rows; other columns are ignored. A unit of work aims at ``block`` nodes and
+    ``unit_shingles`` shingles (8 bytes each).
     """
-    depth = match_depth(threshold, trees, max_depth, target)
+    floor = match_depth(threshold, trees, max_depth, target)
     known = docs.where(F.col("doc_id").isNotNull())
-    sketches = written(sketch(known, n, trees, depth), "forest-sketches")
+    sketches = written(sketch(known, n, trees, floor, max_depth), "forest-sketches")
     worded = sketches.where("n_shingles > 0")
-    nodes = written(worded.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles")), "forest-nodes")
+    # Copies have one signature, so any of a set's rows has the node's.
+    nodes = worded.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("tails").alias("tails"), F.first("n_shingles").alias("n_shingles"))
+    nodes = written(nodes, "forest-nodes")
 
-    spots = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
-    shared = spots.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead")).where("members > 1")
-    spots = written(spots.join(shared, ["tree", "key"]), "forest-groups")
+    spots = nodes.select("node", "n_shingles", F.posexplode("keys").alias("tree", "key"))
+    shared = spots.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight"), F.min("node").alias("lead")).where("members > 1")
+    spots = written(spots.join(shared, ["tree", "key"]), "forest-subtrees")
     near = connected_components(spots.where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")))
+    near = near.join(nodes.select("node", "n_shingles"), "node")
     near = written(near, "forest-candidates")
-    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    near = near.join(sizes, "component")
-    packs = max(1, near.count() // block)
-
-    small = near.where(F.col("size") <= block).select("node", F.pmod(F.xxhash64("component"), F.lit(packs)).alias("unit"), F.lit(-1).alias("tree"), F.lit(-1).alias("side"))
-    # In large components each prefix group is met on its own, in blocks if it is large itself.
-    large = spots.join(near.where(F.col("size") > block).select("node"), "node", "left_semi")
-    blocks = F.ceil(F.col("members") / block)
+    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("mass"))
+    fits = (F.col("size") <= block) & (F.col("mass") <= unit_shingles)
+    near = near.join(sizes, "component").withColumn("fits", fits)
+    n_near, all_mass = near.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    packs = 1 + max(n_near // block, all_mass // unit_shingles)
+
+    small = near.where("fits").select("node", F.pmod(F.xxhash64("component"), F.lit(packs)).alias("unit"), F.lit(-1).alias("tree"), F.lit(-1).alias("side"))
+    # In large components each subtree is met on its own, in blocks if it is large itself.
+    large = spots.join(near.where(~F.col("fits")).select("node"), "node", "left_semi")
+    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("weight") / unit_shingles))
     large = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     whole = large.where("blocks = 1").select("node", (F.pmod(F.xxhash64("tree", "key"), F.lit(16 * packs)) + packs).alias("unit"), "tree", F.lit(-1).alias("side"))
     pairs = large.where("blocks > 1").withColumn("mate", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
@@ -203,11 +290,11 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees:
     pairs = pairs.select("node", (F.shiftrightunsigned(F.xxhash64("tree", "key", low, high), 2) + 17 * packs).alias("unit"), "tree", F.when(low == high, -1).otherwise(F.col("own")).alias("side"))
     meetings = small.unionByName(whole).unionByName(pairs)
 
-    wanted = near.select("node").join(nodes.select("node", "keys", "copies"), "node")
+    wanted = near.select("node").join(nodes.select("node", "keys", "tails", "copies"), "node")
     texts = known.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node").dropDuplicates(["node"])
-    sets = shingle_sets(texts.select("node", "copies", "keys", "text"), n)
-    units = sets.join(meetings, "node").select("unit", "node", "copies", "keys", "tree", "side", "shingles")
-    links = written(units.groupBy("unit").applyInArrow(lambda table: verify_unit(table, threshold), "node long, other long, n_links long"), "forest-links")
+    sets = shingle_sets(texts.select("node", "copies", "keys", "tails", "text"), n)
+    units = sets.join(meetings, "node").select("unit", "node", "copies", "keys", "tails", "tree", "side", "shingles")
+    links = written(units.groupBy("unit").applyInArrow(lambda table: verify_unit(table, threshold, target, floor), "node long, other long, n_links long"), "forest-links")
 
     classes = connected_components(links.where("node <> other").select(F.col("node").alias("u"), F.col("other").alias("v"))).withColumnRenamed("component", "class_id")
     counts = links.groupBy("node").agg(F.sum("n_links").alias("others"))

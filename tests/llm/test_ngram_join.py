@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from quarryline.llm.ngram_join import jaccard_classes, match_depth
+from quarryline.llm.ngram_join import common_depth, jaccard_classes, linked, match_depth, signatures
 
 SCHEMA = "doc_id long, text string, source string, keys string"
 
@@ -73,6 +74,52 @@ def test_depth_shortens_until_the_target():
     assert match_depth(0.8, 20, 8, 0.5) > match_depth(0.8, 20, 8, 0.999)
 
 
+def family(n, seed=4):
+    """Sets of 200 numbers, each but the first with up to 30 others."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    return [np.unique(np.concatenate([base[k:], rng.integers(0, 2**63, k, dtype=np.uint64)])) for k in rng.integers(0, 30, n)]
+
+
+def descent(sets, target, floor=4, threshold=0.8):
+    nodes = np.arange(len(sets))
+    keys, tails = signatures(sets, 20, floor, 8)
+    groups = []
+    for t in range(20):
+        for key in np.unique(keys[:, t]):
+            groups.append((-1, np.flatnonzero(keys[:, t] == key)))
+    return linked(nodes, np.ones(len(sets), np.int64), keys, tails, sets, groups, None, threshold, target, floor)
+
+
+def test_longest_prefix_of_a_pair():
+    sets = [np.arange(50, dtype=np.uint64) << np.uint64(33), np.arange(50, dtype=np.uint64) << np.uint64(33), np.arange(90, 140, dtype=np.uint64) << np.uint64(33)]
+    keys, tails = signatures(sets, 20, 4, 8)
+    same, depth = common_depth(keys, tails, 0, np.array([1, 2]), 4)
+    assert same[0].all() and depth[0] == 8 and not same[1].any() and depth[1] == 0
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached():
+    sets = family(400)
+    links = sum(len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9 for i, a in enumerate(sets) for b in sets[:i])
+    met, found = {}, {}
+    for target in (0.9, 0.99, 0.9999, 1.0):
+        n, _, met[target] = descent(sets, target)
+        found[target] = n.sum() / 2 / links
+        assert found[target] >= target - 0.001
+    # The higher the recall, the shorter the prefixes and the more pairs meet.
+    assert met[0.9] < met[0.99] < met[1.0] and met[0.9999] <= met[1.0]
+
+
+def test_recall_of_pairs_at_the_threshold():
+    rng = np.random.default_rng(5)
+    found = 0
+    for _ in range(300):
+        base = rng.integers(0, 2**63, 90, dtype=np.uint64)
+        pair = [np.unique(base), np.unique(np.concatenate([base[10:], rng.integers(0, 2**63, 10, dtype=np.uint64)]))]
+        found += descent(pair, 0.9999)[0][0]
+    assert found >= 299
+
+
 def test_brute_force_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
