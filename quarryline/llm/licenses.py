@@ -1,10 +1,10 @@
-"""Licence scan: sparse TF-IDF cosine of lines and licence files to templates, then inheritance by path.
+"""Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by path.
 
-Terms are lower-case runs of letters and digits. Document frequencies of the templates' terms cover all
-documents. A line of any document, and the whole text of a licence file, is a vector over the templates' terms;
-every other word of it weighs 1 in its norm. A line can only reach the threshold if it has an *anchor*: the terms
-left out of the anchors have, in each template, a norm below the threshold together (Cauchy-Schwarz). So texts
-without an anchor are passed over without loss.
+Terms are lower-case runs of letters and digits. Document frequencies cover all terms of all documents. Windows of
+one to some lines of any document, and the whole text of a licence file, are vectors over all their terms. A window
+can only reach the threshold if it has an *anchor*: the terms left out of the anchors have, in each template, a norm
+below the threshold together (Cauchy-Schwarz). Windows start at lines with an anchor, as notices do; texts without one
+are passed over without loss.
 
 A file without a licence of its own takes that of the nearest ancestor directory (its own included) that holds a
 licence file with one. Directories are resolved once each and joined back by path.
@@ -22,21 +22,95 @@ from pyspark.sql import functions as F
 
 from quarryline.runtime import written
 
-#: Notices in use and how the licences' own texts begin.
+#: Notices in use, the texts that stand in files, and how the licences' own texts begin.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "MIT",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+    ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    (
+        "Apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    ),
     ("Apache-2.0", "Apache License Version 2.0, January 2004 Terms and Conditions for use, reproduction, and distribution"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    (
+        "GPL-3.0",
+        """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    ),
     ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    (
+        "BSD-3-Clause",
+        """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    ),
+    (
+        "MPL-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    ),
 )
 #: Base names of licence files.
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
+#: How a notice opens.
+NOTICE = "licensed under|released under|this work is licensed under"
+#: Numbers of lines that a window has: next to any length there is one that is at most half as long again.
+WINDOWS = (1, 2, 3, 4, 6, 8, 12, 16, 24)
+#: Up to so many different terms of a corpus, their frequencies are broadcast to the windows' terms.
+BROADCAST_TERMS = 200_000
 
 
 def terms(text: Column) -> Column:
@@ -47,13 +121,14 @@ def template_terms(templates) -> list[tuple[int, str, list[str]]]:
     return [(k, name, [t for t in re.split(r"[^a-z0-9]+", text.lower()) if t]) for k, (name, text) in enumerate(templates)]
 
 
-def term_idf(docs: DataFrame, vocabulary: list[str]) -> dict[str, float]:
-    """Inverse document frequency of each of the templates' terms over all documents."""
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    seen = docs.select(F.explode_outer(F.array_intersect(terms(F.col("text")), known)).alias("term"))
-    counts = {r.term: r.n for r in seen.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per template term
-    total = docs.count()
-    return {t: math.log((1 + total) / (1 + counts.get(t, 0))) + 1 for t in vocabulary}
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df) of all terms of all documents."""
+    seen = docs.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    return seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def inverse(df: Column, total: int) -> Column:
+    return F.log((1 + F.lit(total)) / (1 + df)) + 1
 
 
 def template_vectors(split: list[tuple[int, str, list[str]]], idf: dict[str, float]) -> list[tuple[int, str, str, float]]:
@@ -79,13 +154,29 @@ def anchors(vectors: list[tuple[int, str, str, float]], idf: dict[str, float], t
     return sorted(kept)
 
 
-def scan(files: DataFrame, templates=TEMPLATES, threshold: float = 0.7) -> DataFrame:
+def windows(lines: Column, has_anchor, sizes: tuple[int, ...]) -> Column:
+    """(line, size, unit) of the windows over an array of lines: of each size, from each line with an anchor.
+
+    A window that holds no more lines than the next smaller size, at the end of a text, is left out.
+    """
+    at = F.array_compact(F.transform(lines, lambda x, i: F.when(has_anchor(x), i + 1)))
+    shapes = F.array(*[F.struct(F.lit(w).alias("size"), F.lit(before).alias("before")) for before, w in zip((0, *sizes), sizes)])
+
+    def of(i: Column) -> Column:
+        fitting = F.filter(shapes, lambda s: (s["before"] == 0) | (i + s["before"] <= F.size(lines)))
+        return F.transform(fitting, lambda s: F.struct(i.cast("int").alias("line"), s["size"].alias("size"), F.array_join(F.slice(lines, i, s["size"]), "\n").alias("unit")))
+
+    return F.flatten(F.transform(at, of))
+
+
+def scan(files: DataFrame, templates=TEMPLATES, threshold: float = 0.7, sizes: tuple[int, ...] = WINDOWS) -> DataFrame:
     """One row per input row: doc_id, path, license, score, line, origin, license_file.
 
-    ``files`` has doc_id, path and text. ``origin`` is ``header`` (a line reaches the threshold; ``line`` is its
-    number from 1, the best one, then the first), ``file`` (a licence file whose whole text does, line 0),
-    ``inherited`` (``license_file`` is the path of the source) or ``none``. Equal scores go to the template that
-    comes first. Of several licence files in one directory the best score counts, then the smallest path. Null
+    ``files`` has doc_id, path and text. ``score`` is the best cosine of ``threshold`` or more and ``line`` the number,
+    from 1, of the first line of the window that has it, or 0 for the whole text of a licence file. Equal scores go to
+    the first line, then the fewest lines, then the template that comes first. ``origin`` is ``file`` (a licence file
+    with a licence of its own), ``header`` (any other file with one), ``inherited`` (``license_file`` is the path of the
+    source) or ``none``. Of several licence files in one directory the best score counts, then the smallest path. Null
     and empty texts have no licence of their own; a null path inherits nothing. Rows with one doc_id and path
     are one file. An empty table gives no rows; other columns are ignored.
     """
@@ -93,34 +184,41 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = 0.7) -> DataF
     split = template_terms(templates)
     vocabulary = sorted({t for _, _, words in split for t in words})
     base = files.select("doc_id", "path", "text")
-    idf = term_idf(base, vocabulary)
+    frequencies = written(document_frequencies(base), "term-frequencies")
+    total = base.count()
+    seen = {r.term: r.df for r in frequencies.where(F.col("term").isin(vocabulary)).collect()}  # one row per template term
+    idf = {t: math.log((1 + total) / (1 + seen.get(t, 0))) + 1 for t in vocabulary}
     vectors = template_vectors(split, idf)
     weights = F.broadcast(spark.createDataFrame(vectors, "template int, license string, term string, weight double"))  # the templates only
-    idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
+    frequencies = F.broadcast(frequencies) if frequencies.count() <= BROADCAST_TERMS else frequencies
     lower = F.lower(F.col("text"))
     marks = anchors(vectors, idf, threshold)
-    has_anchor = F.lit(False)
-    for t in marks:
-        has_anchor = has_anchor | F.contains(F.col("unit"), F.lit(t))
-    # The substring test is cheap; the expression then asks for whole terms.
     whole_term = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(marks) or '(?!)'})(?![\p{{L}}\p{{N}}])"
-    has_anchor = has_anchor & F.col("unit").rlike(whole_term)
+
+    def has_anchor(text: Column) -> Column:
+        # The substring test is cheap; the expression then asks for whole terms.
+        some = F.lit(False)
+        for t in marks:
+            some = some | F.contains(text, F.lit(t))
+        return some & text.rlike(whole_term)
 
     is_file = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME), F.lit(False))
-    whole = F.when(is_file & F.contains(lower, F.lit("\n")), F.array(lower)).otherwise(F.array().cast("array<string>"))
-    units = base.select("doc_id", "path", F.posexplode_outer(F.concat(whole, F.split(lower, "\n"))).alias("at", "unit"), F.size(whole).alias("ahead"))
-    units = units.where(F.col("unit").isNotNull()).where(has_anchor).withColumn("line", F.when(F.col("at") < F.col("ahead"), 0).otherwise(F.col("at") - F.col("ahead") + 1)).drop("at", "ahead")
-    words = units.select("doc_id", "path", "line", F.explode(terms(F.col("unit"))).alias("term")).groupBy("doc_id", "path", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Few texts have an anchor at all; the others end here.
+    rows = base.select("doc_id", "path", lower.alias("low")).where(has_anchor(F.col("low")))
+    whole = F.when(is_file & F.contains("low", F.lit("\n")), F.array(F.struct(F.lit(0).alias("line"), F.lit(0).alias("size"), F.col("low").alias("unit"))))
+    none = F.array().cast("array<struct<line:int,size:int,unit:string>>")
+    units = rows.withColumn("lines", F.split("low", "\n")).select("doc_id", "path", F.explode(F.concat(F.coalesce(whole, none), windows(F.col("lines"), has_anchor, sizes))).alias("u")).select("doc_id", "path", "u.*")
+    rows_of = ["doc_id", "path", "line", "size"]
+    words = units.select(*rows_of, F.explode(terms(F.col("unit"))).alias("term")).groupBy(*rows_of, "term").agg(F.count(F.lit(1)).alias("tf"))
     words = written(words, "licence-terms")
-    rows_of = ["doc_id", "path", "line"]
-    weighed = words.join(idfs, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
-    # The norm travels as a sum over all the line's words; the products over the templates' terms only.
-    pairs = weighed.join(weights, "term", "left")
+    weighed = words.join(frequencies, "term").withColumn("w", F.col("tf") * inverse(F.col("df"), total))
+    # The norm travels as a sum over all the window's words; the products over the templates' terms only.
+    pairs = weighed.join(weights, "term")
     norms = weighed.groupBy(*rows_of).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = pairs.where("template is not null").groupBy(*rows_of, "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    dots = pairs.groupBy(*rows_of, "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in rows_of]
-    scored = dots.alias("a").join(norms.alias("b"), same).select("a.doc_id", "a.path", "a.line", "a.template", "a.license", F.round(F.col("a.dot") / F.col("b.norm"), 6).alias("score"))
-    best = F.max_by(F.struct("license", "score", "line"), F.struct("score", -F.col("line"), -F.col("template"))).alias("own")
+    scored = dots.alias("a").join(norms.alias("b"), same).select(*[f"a.{c}" for c in rows_of], "a.template", "a.license", F.round(F.col("a.dot") / F.col("b.norm"), 6).alias("score"))
+    best = F.max_by(F.struct("license", "score", "line"), F.struct("score", -F.col("line"), -F.col("size"), -F.col("template"))).alias("own")
     own = written(scored.where(F.col("score") >= threshold).groupBy("doc_id", "path").agg(best), "own-licences").select("doc_id", "path", "own.*")
 
     parts = F.split("path", "/")
@@ -144,7 +242,7 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = 0.7) -> DataF
         F.coalesce("own_license", "from.license").alias("license"),
         F.coalesce("own_score", "from.score").alias("score"),
         F.col("line").cast("int").alias("line"),
-        F.when(has & (F.col("line") == 0), "file").when(has, "header").when(got, "inherited").otherwise("none").alias("origin"),
+        F.when(has & is_file, "file").when(has, "header").when(got, "inherited").otherwise("none").alias("origin"),
         F.when(~has, F.col("from.path")).alias("license_file"),
     )
 
@@ -152,11 +250,14 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = 0.7) -> DataF
 def document_paths(docs: DataFrame) -> DataFrame:
     """(doc_id, path, text): a tree of source, language and hundreds of ids for a table without paths.
 
-    A document whose first line speaks of a licence is a licence file, at a level that its id decides.
+    Of the documents that have a line which opens with a notice, every third id is a licence file, at a level that the
+    id decides as well.
     """
-    opening = F.split(F.coalesce("text", F.lit("")), "\n", 2)[0].rlike("(?i)licen[cs]e")
+    low = F.lower(F.coalesce("text", F.lit("")))
+    opening = F.contains(low, F.lit("licen")) & low.rlike(rf"(^|\n)({NOTICE})")
+    opening = F.coalesce(opening & (F.pmod("doc_id", F.lit(3)) == 0), F.lit(False))
     source, lang, block = F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.floor(F.col("doc_id") / 100).cast("string")
     levels = F.array(source, lang, block)
     name = F.when(opening, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    depth = F.when(opening, F.pmod("doc_id", F.lit(3)).cast("int") + 1).otherwise(3)
+    depth = F.when(opening, F.pmod(F.floor(F.col("doc_id") / 3), F.lit(3)).cast("int") + 1).otherwise(3)
     return docs.select("doc_id", F.array_join(F.concat(F.slice(levels, 1, depth), F.array(name)), "/").alias("path"), "text")

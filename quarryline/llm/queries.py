@@ -73,6 +73,8 @@ QUERIES = {
 
 #: The licence templates as SQL rows.
 _TEMPLATES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
+#: Sizes of windows, each with the next smaller one.
+_SHAPES = ", ".join(f"({w}, {before})" for before, w in zip((0, *licenses.WINDOWS), licenses.WINDOWS))
 _FILE = r"'(?i)^(licen[cs]e|copying|notice)([._-].*)?$'"
 
 ORACLES = {
@@ -95,36 +97,42 @@ ORACLES = {
     "op4_license_scan": rf"""
         WITH templates AS (SELECT * FROM (VALUES {_TEMPLATES}) v(template, license, text)),
         tterms AS (SELECT template, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM templates),
-        vocabulary AS (SELECT DISTINCT term FROM tterms),
         dterms AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'))) AS term FROM documents),
-        freq AS (SELECT v.term, count(d.doc_id) AS df FROM vocabulary v LEFT JOIN dterms d USING (term) GROUP BY v.term),
-        idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM freq),
-        tw AS (SELECT template, license, term, count(*) * any_value(idf) AS w FROM tterms JOIN idf USING (term) GROUP BY ALL),
-        weights AS (SELECT template, license, term, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS weight FROM tw),
+        freq AS (SELECT term, count(*) AS df FROM dterms GROUP BY term),
+        total AS (SELECT count(*) AS n FROM documents),
+        idf AS (SELECT term, ln((1 + (SELECT n FROM total)) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT term FROM freq UNION SELECT term FROM tterms) LEFT JOIN freq USING (term)),
+        tw AS (SELECT template, license, term, any_value(idf) AS idf, count(*) * any_value(idf) AS w FROM tterms JOIN idf USING (term) GROUP BY ALL),
+        weights AS (SELECT template, license, term, idf, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS weight FROM tw),
+        anchors AS (
+            SELECT list(DISTINCT term) AS marks FROM (
+                SELECT term, 1 - coalesce(sum(weight * weight) OVER (PARTITION BY template ORDER BY idf DESC, term DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM weights)
+            WHERE sqrt(greatest(rest, 0)) >= 0.7 - 1e-9),
         named AS (
             SELECT doc_id, lower(text) AS low, coalesce(source, 'unknown') AS a, coalesce(lang, 'unknown') AS b, CAST(doc_id // 100 AS VARCHAR) AS c,
-                   regexp_matches(split_part(text, chr(10), 1), '(?i)licen[cs]e') AS opens FROM documents),
+                   regexp_matches(lower(text), '(^|\n)({licenses.NOTICE})') AND doc_id % 3 = 0 AS opens FROM documents),
         files AS (
-            SELECT doc_id, low, CASE WHEN NOT opens THEN a || '/' || b || '/' || c || '/' || doc_id || '.txt' ELSE CASE doc_id % 3 WHEN 0 THEN a WHEN 1 THEN a || '/' || b ELSE a || '/' || b || '/' || c END || '/LICENSE.' || doc_id END AS path FROM named),
+            SELECT doc_id, low, CASE WHEN NOT opens THEN a || '/' || b || '/' || c || '/' || doc_id || '.txt' ELSE CASE (doc_id // 3) % 3 WHEN 0 THEN a WHEN 1 THEN a || '/' || b ELSE a || '/' || b || '/' || c END || '/LICENSE.' || doc_id END AS path FROM named),
+        lines AS (SELECT doc_id, path, ls, unnest(range(1, len(ls) + 1)) AS line FROM (SELECT doc_id, path, string_split(low, chr(10)) AS ls FROM files)),
+        anchored AS (SELECT lines.* FROM lines, anchors WHERE list_has_any(regexp_extract_all(ls[line], '[\p{{L}}\p{{N}}]+'), marks)),
+        shapes AS (SELECT * FROM (VALUES {_SHAPES}) v(w, earlier)),
         units AS (
-            SELECT doc_id, path, unnest(range(1, len(string_split(low, chr(10))) + 1)) AS line, unnest(string_split(low, chr(10))) AS unit FROM files
-            UNION ALL SELECT doc_id, path, 0, low FROM files WHERE contains(low, chr(10)) AND regexp_matches(string_split(path, '/')[-1], {_FILE})),
-        words AS (SELECT doc_id, path, line, term, count(*) AS tf FROM (SELECT doc_id, path, line, unnest(regexp_extract_all(unit, '[\p{{L}}\p{{N}}]+')) AS term FROM units) GROUP BY ALL),
-        weighed AS (SELECT words.*, tf * coalesce(idf, 1.0) AS w FROM words LEFT JOIN idf USING (term)),
-        norms AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
-        dots AS (SELECT doc_id, path, line, template, license, sum(w * weight) AS dot FROM weighed JOIN weights USING (term) GROUP BY ALL),
-        scored AS (SELECT dots.*, round(dot / norm, 6) AS score FROM dots JOIN norms USING (doc_id, line)),
-        own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, template) AS r FROM scored WHERE score >= 0.7) WHERE r = 1),
-        dirs AS (SELECT doc_id, path, array_to_string(string_split(path, '/')[1:-2], '/') AS dir FROM files),
+            SELECT doc_id, path, line, w, array_to_string(ls[line:line + w - 1], chr(10)) AS unit FROM anchored, shapes WHERE earlier = 0 OR line + earlier <= len(ls)
+            UNION ALL SELECT doc_id, path, 0, 0, low FROM files WHERE contains(low, chr(10)) AND regexp_matches(string_split(path, '/')[-1], {_FILE})),
+        words AS (SELECT doc_id, path, line, w, term, count(*) AS tf FROM (SELECT doc_id, path, line, w, unnest(regexp_extract_all(unit, '[\p{{L}}\p{{N}}]+')) AS term FROM units) GROUP BY ALL),
+        weighed AS (SELECT words.*, tf * idf AS x FROM words JOIN idf USING (term)),
+        norms AS (SELECT doc_id, line, w, sqrt(sum(x * x)) AS norm FROM weighed GROUP BY ALL),
+        dots AS (SELECT doc_id, path, line, w, template, license, sum(x * weight) AS dot FROM weighed JOIN weights USING (term) GROUP BY ALL),
+        scored AS (SELECT dots.*, round(dot / norm, 6) AS score FROM dots JOIN norms USING (doc_id, line, w)),
+        own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, w, template) AS r FROM scored WHERE score >= 0.7) WHERE r = 1),
+        dirs AS (SELECT doc_id, path, array_to_string(string_split(path, '/')[1:-2], '/') AS dir, regexp_matches(string_split(path, '/')[-1], {_FILE}) AS is_file FROM files),
         given AS (
-            SELECT * FROM (SELECT dir, own.path, license, score, row_number() OVER (PARTITION BY dir ORDER BY score DESC, own.path) AS r FROM own JOIN dirs USING (doc_id)
-                           WHERE regexp_matches(string_split(own.path, '/')[-1], {_FILE})) WHERE r = 1),
+            SELECT * FROM (SELECT dir, own.path, license, score, row_number() OVER (PARTITION BY dir ORDER BY score DESC, own.path) AS r FROM own JOIN dirs USING (doc_id) WHERE is_file) WHERE r = 1),
         climb AS (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS depth FROM (SELECT DISTINCT dir FROM dirs)),
         lent AS (
             SELECT climb.dir, arg_max(given.path, depth) AS path, arg_max(license, depth) AS license, arg_max(score, depth) AS score
             FROM climb JOIN given ON given.dir = array_to_string(string_split(climb.dir, '/')[1:depth], '/') GROUP BY climb.dir)
         SELECT d.doc_id, d.path, coalesce(own.license, lent.license) AS license, coalesce(own.score, lent.score) AS score, own.line::INTEGER AS line,
-               CASE WHEN own.line = 0 THEN 'file' WHEN own.line > 0 THEN 'header' WHEN lent.path IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+               CASE WHEN own.doc_id IS NOT NULL AND is_file THEN 'file' WHEN own.doc_id IS NOT NULL THEN 'header' WHEN lent.path IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
                CASE WHEN own.doc_id IS NULL THEN lent.path END AS license_file
         FROM dirs d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN lent ON lent.dir = d.dir""",
     "op1_decontamination": r"""

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -123,12 +125,71 @@ def test_licences_and_their_inheritance(spark):
     rows += [(k, f"d/{k}.txt", f"{filler} number {k}") for k in range(20, 60)]
     table = spark.createDataFrame([(*r, "other") for r in rows], "doc_id long, path string, text string, license string")
     got = {r.doc_id: (r.license, r.origin, r.license_file) for r in licenses.scan(table).collect()}
-    assert got[1] == ("MIT", "header", None) and got[2] == ("MIT", "inherited", "a/LICENSE")
+    assert got[1] == ("MIT", "file", None) and got[8] == ("GPL-3.0", "file", None) and got[2] == ("MIT", "inherited", "a/LICENSE")
     assert got[3] == ("GPL-3.0", "inherited", "a/b/COPYING") and got[4] == ("GPL-3.0", "header", None)
     assert got[5] == got[6] == got[9] == (None, "none", None) and got[7] == got[10] == ("MIT", "inherited", "a/LICENSE")
     assert licenses.scan(table).count() == len(rows) and licenses.scan(table.limit(0)).count() == 0
 
 
+def brute_licences(files, threshold=0.7):
+    """doc_id: (licence, score, line) by comparing every window of every text with every template."""
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    n, seen = len(files), Counter(t for _, _, text in files for t in set(split(text)))
+    idf = lambda t: math.log((1 + n) / (1 + seen[t])) + 1
+
+    def vector(words):
+        v = {t: c * idf(t) for t, c in Counter(words).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    out = {}
+    known = [(k, name, vector(re.findall("[a-z0-9]+", text.lower()))) for k, (name, text) in enumerate(licenses.TEMPLATES)]
+    for i, path, text in files:
+        lines = (text or "").split("\n")
+        units = [(a + 1, w, lines[a : a + w]) for a in range(len(lines)) for w in licenses.WINDOWS]
+        if re.match(licenses.FILE_NAME, (path or "").split("/")[-1]) and len(lines) > 1:
+            units.append((0, 0, lines))
+        best = []
+        for line, w, unit in units:
+            own = vector(split("\n".join(unit)))
+            best += [(-round(sum(x * v.get(t, 0) for t, x in own.items()), 6), line, w, k, name) for k, name, v in known]
+        top = min(best, default=None)
+        out[i] = (top[4], -top[0], top[1]) if top and -top[0] >= threshold else (None, None, None)
+    return out
+
+
+def test_licence_scores_match_brute_force(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice(["museum", "river", "table", "green", "walks", "under", "the", "of", "version", "software"]) for _ in range(n))
+    files = [(k, f"src/{k}.txt", "\n".join(prose(8) for _ in range(rng.randint(1, 6)))) for k in range(60)]
+    for k, (_, text) in enumerate(licenses.TEMPLATES):
+        flat = text.split()
+        wrapped = "\n".join(" ".join(flat[a : a + 9]) for a in range(0, len(flat), 9))
+        files += [(100 + k, f"src/h{k}.txt", f"{prose(9)}\n{wrapped}\n{prose(9)}"), (200 + k, f"lib{k}/LICENSE", text), (300 + k, f"doc/{k}.txt", f"{prose(30)} {' '.join(flat[:12])} {prose(30)}")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    want = brute_licences(files)
+    own = {i: (r.license, r.score, r.line) if r.origin in ("file", "header") else (None, None, None) for i, r in got.items()}
+    # A window that starts with a plain line before the notice never beats the one that starts with the notice.
+    assert {i: (w[0], w[1] and round(w[1], 5), w[2]) for i, w in want.items()} == {i: (w[0], w[1] and round(w[1], 5), w[2]) for i, w in own.items()}
+    for k, (name, _) in enumerate(licenses.TEMPLATES):
+        assert own[100 + k][0] == name and got[200 + k].origin == "file" and got[200 + k].license == name
+    # Prose that only cites a notice is none.
+    assert all(own[300 + k][0] is None for k, (_, t) in enumerate(licenses.TEMPLATES) if len(t.split()) > 40)
+
+
+def test_licence_query_has_all_origins(spark):
+    found = licenses.scan(licenses.document_paths(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    origins = Counter(r.origin for r in found.select("origin").collect())
+    assert set(origins) == {"file", "header", "inherited", "none"} and origins.total() == 1000
+
+
+def test_licences_with_many_terms_join_by_shuffle(spark, monkeypatch):
+    table = licenses.document_paths(spark.read.parquet(f"{SF}/documents.parquet"))
+    want = sorted(map(str, licenses.scan(table).collect()))
+    monkeypatch.setattr(licenses, "BROADCAST_TERMS", 0)
+    assert sorted(map(str, licenses.scan(table).collect())) == want
+
+
 def test_anchors_lose_no_line(spark):
     rng = random.Random(6)
     split = licenses.template_terms(licenses.TEMPLATES)
