@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.plans.order import positions, running_totals
 from quarryline.runtime import written
 
-_LOW = (1 << 33) - 1
 #: Up to so many values of a label, its table of positions is broadcast.
 BROADCAST_VALUES = 50_000
 
@@ -58,11 +58,10 @@ def curve_table(df_spark, dims: int, bits: int) -> DataFrame:
 
 
 def rank_positions(df: DataFrame, column: str, bits: int) -> DataFrame:
-    """(value, position): each distinct value's place among all rows, as a share of 2 ** bits."""
+    """(value, position): each distinct value's place among all rows, as a share of 2 ** bits; null last."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy(F.col("value").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select("value", F.floor(F.coalesce(before, F.lit(0)) * (1 << bits) / total).alias("position"))
+    ranked = running_totals(counts, "n", F.col("value").asc_nulls_last(), label="label-order")
+    return ranked.select("row.value", F.floor(F.col("before") * (1 << bits) / F.col("total")).alias("position"))
 
 
 def log_position(size: Column, bits: int) -> Column:
@@ -70,52 +69,57 @@ def log_position(size: Column, bits: int) -> Column:
     return F.least(F.lit((1 << bits) - 1), F.floor(2 * F.log2(F.greatest(size / 8, F.lit(1.0)))))
 
 
+def _column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 def hilbert_shards(
-    rows: DataFrame, n_shards: int = 24, labels: tuple[str, ...] = ("source", "lang"), size: str = "size", tie: tuple[str, ...] = ("text_key", "doc_id"), bits: int = 5, group: str | None = None
+    rows: DataFrame,
+    n_shards: int = 24,
+    labels: tuple[Column | str, ...] = ("source", "lang"),
+    size: Column | str = "size",
+    tie: tuple[Column | str, ...] = ("text_key", "doc_id"),
+    bits: int = 5,
+    group: Column | str | None = None,
+    outputs: tuple[str, ...] = ("curve", "shard", "slot"),
 ) -> DataFrame:
-    """All columns of ``rows`` plus curve, shard and slot; counts of the shards differ by one at most.
+    """All columns of ``rows`` plus those of ``outputs``; counts of the shards differ by one at most.
 
     The dimensions are the ``labels`` (placed by cumulative share of rows, null last) and the logarithm of
     ``size``. Rows are range-partitioned and sorted by (curve index, ``tie``); the position in the whole order
     is the position in the partition plus the rows of those before it. With ``group`` the labels and size of a
     group's first row hold for all of it, so that its rows lie side by side. Nulls in ``tie`` come first;
-    fully equal rows get neighbouring slots. An empty table gives no rows.
+    fully equal rows get neighbouring slots. Columns named as an output are replaced, all others kept, whatever
+    their names. An empty table gives no rows.
     """
     spark = rows.sparkSession
-    clash = [c for c in ("curve", "shard", "slot", "_cell", "_at", "_first", "_n") if c in rows.columns]
-    base = rows = rows.drop(*clash)
-    if group:
-        lead = rows.groupBy(F.col(group).alias("_g")).agg(F.min(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(("doc_id", *labels, size))])).alias("_lead"))
-        rows = rows.join(lead, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
-        value = {c: F.col(f"_lead._{i + 1}") for i, c in enumerate((*labels, size))}
-    else:
-        value = {c: F.col(c) for c in (*labels, size)}
-    cell = log_position(value[size], bits)
-    for i, c in enumerate(labels):
-        places = written(rank_positions(base, c, bits).select(F.col("value").alias(f"_v{i}"), F.col("position").alias(f"_p{i}")), "places")
+    held = rows.drop(*outputs)
+    # The table's own columns travel in one struct, so that no name of theirs can meet one of these.
+    names = [f"label{i}" for i in range(len(labels))]
+    inner = rows.select(F.struct(*[rows[f"`{c}`"] for c in held.columns]).alias("held"), *[_column(c).alias(n) for n, c in zip(names, labels)], _column(size).alias("size"), F.col("doc_id").alias("id"), *[_column(c).alias(f"tie{i}") for i, c in enumerate(tie)], (_column(group) if group is not None else F.lit(None)).alias("group"))
+    base = inner
+    if group is not None:
+        lead = inner.groupBy(F.col("group").alias("of")).agg(F.min(F.struct("id", *names, "size")).alias("lead"))
+        inner = inner.join(lead, F.col("group").eqNullSafe(F.col("of")), "left").drop("of", *names, "size").select("*", *[F.col(f"lead.{c}").alias(c) for c in (*names, "size")]).drop("lead")
+    cell = log_position(F.col("size"), bits)
+    for i, c in enumerate(names):
+        places = written(rank_positions(base, c, bits).select(F.col("value").alias(f"value{i}"), F.col("position").alias(f"place{i}")), "places")
         # A label with few values is joined without moving the rows; one with many has no hot value to speak of.
         places = F.broadcast(places) if places.count() <= BROADCAST_VALUES else places
-        rows = rows.join(places, value[c].eqNullSafe(F.col(f"_v{i}")), "left").drop(f"_v{i}")
-        cell = cell + F.coalesce(f"_p{i}", F.lit(0)) * (1 << (bits * (i + 1)))
+        inner = inner.join(places, F.col(c).eqNullSafe(F.col(f"value{i}")), "left").drop(f"value{i}")
+        cell = cell + F.coalesce(f"place{i}", F.lit(0)) * (1 << (bits * (i + 1)))
     dims = len(labels) + 1
-    table = F.broadcast(curve_table(spark, dims, bits).withColumnRenamed("cell", "_cell"))
-    rows = rows.withColumn("_cell", cell.cast("long")).join(table, "_cell", "left").drop("_cell", "_lead", *[f"_p{i}" for i in range(len(labels))])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["curve", *tie]
-    placed = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "curve-order")
-    part = F.shiftright("_at", 33)
-    runs = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    runs = runs.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # One row per partition of the sort, whatever the data.
-    runs = F.broadcast(runs.withColumn("_all", F.sum("_n").over(Window.partitionBy())).drop("_n"))
-    at = F.col("_first") + F.col("_at").bitwiseAND(F.lit(_LOW))
-    out = placed.join(runs, part == F.col("_part")).withColumn("_at", at)
-    low, extra = F.expr(f"_all div {n_shards}"), F.col("_all") % n_shards
+    table = F.broadcast(curve_table(spark, dims, bits).withColumnRenamed("cell", "at_cell"))
+    inner = inner.withColumn("cell", cell.cast("long")).join(table, F.col("cell") == F.col("at_cell"), "left")
+    ties = [f"tie{i}" for i in range(len(tie))]
+    out = positions(inner.select("held", "curve", *ties), "curve", *ties, label="curve-order")
+    low, extra = F.expr(f"total div {n_shards}"), F.col("total") % n_shards
     edge = extra * (low + 1)
-    first = F.col("_at") < edge
-    shard = F.when(first, F.expr(f"_at div (_all div {n_shards} + 1)")).otherwise(extra + ((F.col("_at") - edge) / F.greatest(low, F.lit(1))).cast("long"))
-    slot = F.when(first, F.col("_at") % (low + 1)).otherwise((F.col("_at") - edge) % F.greatest(low, F.lit(1)))
-    return out.withColumns({"shard": shard.cast("int"), "slot": slot.cast("long")}).drop("_at", "_first", "_part", "_all")
+    first = F.col("at") < edge
+    shard = F.when(first, F.expr(f"at div (total div {n_shards} + 1)")).otherwise(extra + ((F.col("at") - edge) / F.greatest(low, F.lit(1))).cast("long"))
+    slot = F.when(first, F.col("at") % (low + 1)).otherwise((F.col("at") - edge) % F.greatest(low, F.lit(1)))
+    made = {"curve": F.col("row.curve"), "shard": shard.cast("int"), "slot": slot.cast("long")}
+    return out.select("row.held.*", *[made[c].alias(c) for c in outputs])
 
 
 def describe_rows(docs: DataFrame) -> DataFrame:

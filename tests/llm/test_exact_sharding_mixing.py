@@ -151,3 +151,27 @@ def test_mixture_of_nothing(spark):
     assert [r.taken for r in mixing.mix(blank).collect()] == [0, 0, 0]
     one = docs(spark, [(1, "a b", "s"), (1, "a b", "s")]).withColumn("size", mixing.word_count(F.col("text")))
     assert sorted(r.taken for r in mixing.mix(one).collect()) == [2, 2]
+
+
+INNER = ("held", "label0", "label1", "tie0", "tie1", "group", "of", "lead", "value0", "place0", "cell", "at_cell", "at", "total", "row", "place", "part", "own", "ahead", "before", "inside", "amount", "origin", "of_part", "offset", "key", "times", "sum", "curve_", "id")
+
+
+def test_columns_of_any_name_stay_as_they_are(spark):
+    rows = docs(spark, [(k, "a b " * (k % 5), "s" if k % 3 else "t") for k in range(50)])
+    odd = rows.select("*", F.xxhash64("text").alias("text_key"), *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in INNER]).withColumn("size", mixing.word_count(F.col("text")))
+    for got in (sharding.hilbert_shards(odd, 5, group="text_key"), mixing.mix(odd), mixing.mixed_documents(odd)):
+        assert set(odd.columns) - {"shard", "taken"} <= set(got.columns) and len(set(got.columns)) == len(got.columns)
+        found = got.collect()
+        assert found and all(r[c] == f"{c}{r.doc_id}" for r in found for c in INNER)
+    few = odd.select("doc_id", "text", "lang", "curve_", F.lit(3).alias("curve"), *INNER[:3], "size", "source", "text_key")
+    assert {r.curve for r in sharding.hilbert_shards(few, 5, outputs=("shard", "slot")).collect()} == {3}
+
+
+def test_label_with_many_values_is_ranked_without_one_task(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BROADCAST_VALUES", 0)
+    rows = docs(spark, [(k, f"text {k}", f"s{k % 97}") for k in range(300)])
+    got = sharding.hilbert_shards(sharding.describe_rows(rows), 7).collect()
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(7) for k in range(43 if s < 6 else 42)]
+    place = {r.value: r.position for r in sharding.rank_positions(rows, "source", 5).collect()}
+    names = sorted(f"s{k % 97}" for k in range(300))
+    assert place == {n: names.index(n) * 32 // 300 for n in names}
