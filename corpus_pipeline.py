@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import decontaminate, language, mixing, ngram_join, sharding
-from quarryline.runtime import written
+from quarryline.runtime import made, release, written
 
 #: A document whose language is less certain than this is rejected: little more than chance among four. Short texts
 #: and texts in two languages score between this and a half.
@@ -39,15 +39,14 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that the sources meet their shares."""
-    mixed = mixing.mix(docs.withColumn("_words", mixing.word_count(F.col("text"))), size="_words")
-    return mixing.repeated(mixed, size="_words").select(*docs.columns)
+    return mixing.mixed_documents(docs, size=mixing.word_count(F.col("text")))
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with size, shard and slot."""
+    """The documents with size, shard and slot; columns of these names are replaced, all others kept."""
     body = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"size": (F.octet_length(body) + 8).cast("long"), "text_key": F.xxhash64(body)})
-    return sharding.hilbert_shards(rows, N_SHARDS).drop("text_key", "curve")
+    rows = docs.withColumn("size", (F.octet_length(body) + 8).cast("long"))
+    return sharding.hilbert_shards(rows, N_SHARDS, tie=(F.xxhash64(body), "doc_id"), outputs=("shard", "slot"))
 
 
 STAGES = [
@@ -65,5 +64,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        before = made()
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        # Nothing reads a stage's working tables once its result is written.
+        release(spark, tuple(p for p in made() if p not in before), but=docs)
     return docs
