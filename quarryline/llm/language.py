@@ -137,17 +137,20 @@ def document_frequencies(rows: DataFrame, bits: int) -> tuple[np.ndarray, int]:
 
 
 def training_sample(rows: DataFrame, per_language: int, bits: int) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
-    """(lang, hash, slots, counts) of the ``per_language`` rows of each language with the smallest hashes of their ids."""
+    """(lang, hash, slots, counts) of the ``per_language`` texts of each language with the smallest hashes of id and text.
+
+    Rows with one language, id and text count once, so that no more than the parameter allows reach the driver.
+    """
     from pyspark.sql import Window
 
-    named = rows.select("doc_id", "lang", F.xxhash64(F.col("doc_id")).alias("h"))
+    named = rows.select("doc_id", "lang", F.xxhash64("text").alias("t")).withColumn("h", F.xxhash64("doc_id", "t"))
     # First the smallest of each of 64 parts, so that a common language does not meet in one task.
-    order = [F.col("h"), F.col("doc_id")]
-    parts = named.withColumn("part", F.pmod("h", F.lit(64)))
+    order = [F.col("h"), F.col("doc_id"), F.col("t")]
+    parts = named.dropDuplicates(["lang", "doc_id", "t"]).withColumn("part", F.pmod("h", F.lit(64)))
     parts = parts.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("r") <= per_language).drop("r")
     ranked = parts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= per_language)
     # per_language ids of each language: bounded by the parameter.
-    chosen = F.broadcast(ranked.select("doc_id", "h").distinct())
+    chosen = F.broadcast(ranked.select("lang", "h").distinct())
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +163,8 @@ def training_sample(rows: DataFrame, per_language: int, bits: int) -> list[tuple
                     ["lang", "h", "slots", "counts"],
                 )
 
-    got = rows.join(chosen, "doc_id").select("lang", "h", "text").mapInArrow(sparse, "lang string, h long, slots array<int>, counts array<float>").toArrow()
+    mine = rows.withColumn("h", F.xxhash64("doc_id", F.xxhash64("text"))).join(chosen, ["lang", "h"])
+    got = mine.select("lang", "h", "text").dropDuplicates(["lang", "h"]).mapInArrow(sparse, "lang string, h long, slots array<int>, counts array<float>").toArrow()
     found = sorted(zip(*(got.column(c).to_pylist() for c in ("lang", "h", "slots", "counts")), strict=True), key=lambda r: (r[1], r[0]))
     return [(lang, h, np.array(s, np.int64), np.array(c, np.float64)) for lang, h, s, c in found]
 
@@ -197,12 +201,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     are read; equal texts get equal predictions. Columns named lang_pred or score are replaced.
     """
     docs = docs.drop("lang_pred", "score")
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values only: executors load the broadcast without a copy of this package.
+    held = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))
     at = docs.columns.index("text")
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m = Model(*held.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             names: list[str] = []

@@ -4,6 +4,9 @@ The patterns give the base spans. The field labels whitespace-separated tokens;
 find data that no pattern matches, such as a phone number without a country code. Its features are the word shapes
 of a token and its neighbours. It is trained on a small labelled table that this module writes out by rule.
 
+The field goes by shape; what it finds must then hold as its kind: digits of a card pass Luhn's test, and a span over
+several cards is cut into them.
+
 Decoding is constrained: a token without a digit and without an at sign is outside of any span. So a text falls
 into short independent runs of the other tokens, each with fixed ends, and Viterbi over all runs of a batch is
 exact. Runs of equal position advance together in numpy.
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,15 +30,48 @@ from quarryline.llm.textnp import code_points, slices
 KINDS = ("email", "ip", "card", "phone")
 #: Label 0 is outside; 1 + 2 k begins kind k, 2 + 2 k goes on with it.
 N_LABELS = 1 + 2 * len(KINDS)
-PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
-    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
-}
+#: Characters before the at sign, what follows it, and the searches of the other kinds.
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost spans, found from the at signs, so that a long run without one costs nothing."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        before = _LOCAL.match(text[free:at][::-1]).end()
+        domain = _DOMAIN.match(text, at) if before else None
+        if domain:
+            yield at - before, domain.end()
+        # No character of a later match lies before the next at sign's own run.
+        free = domain.end() if domain else at + 1
+        at = text.find("@", free)
+
+
+def dotted_quads(text: str) -> Iterator[tuple[int, int]]:
+    """Four numbers at a time of each chain of numbers with single dots between."""
+    for chain in _DOTTED.finditer(text):
+        parts = chain.group().split(".")
+        start = chain.start()
+        for k in range(0, len(parts) - 3, 4):
+            end = start + sum(map(len, parts[k : k + 4])) + 3
+            yield start, end
+            start = end + 1
+
+
+def matches(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of a kind's pattern that do not overlap, in time proportional to the text."""
+    if kind == "email":
+        return emails(text)
+    if kind == "ip":
+        return dotted_quads(text)
+    return (m.span() for m in (_CARD if kind == "card" else _PHONE).finditer(text))
+
+
 def luhn(digits: str) -> bool:
     total = sum(map(int, digits[::-2])) + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
     return total % 10 == 0
@@ -56,7 +93,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     digit = _DIGIT.search(text) is not None
     for k, kind in enumerate(KINDS):
         if (at if kind == "email" else digit and ("+" in text if kind == "phone" else True)):
-            out += [(k, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if valid(kind, m.group())]
+            out += [(k, a, b) for a, b in matches(kind, text) if valid(kind, text[a:b])]
     return out
 
 
@@ -175,6 +212,11 @@ def labelled_table(n: int = 360, seed: int = 3) -> list[list[tuple[str, str]]]:
     word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9)))
     octets = lambda: ".".join(str(x) for x in rng.integers(1, 255, 4))
 
+    def card(k: int) -> str:
+        """``k`` digits that pass Luhn's test."""
+        head = number(k - 1)
+        return head + next(d for d in "0123456789" if luhn(head + d))
+
     def pieces(kind: int) -> list[str]:
         form = int(rng.integers(0, 4))
         if kind == 0:
@@ -182,7 +224,9 @@ def labelled_table(n: int = 360, seed: int = 3) -> list[list[tuple[str, str]]]:
         if kind == 1:
             return [[octets()], [octets() + "."], [octets() + ":8080"], [f"({octets()})"]][form]
         if kind == 2:
-            return [[number(4), number(4), number(4), number(4)], [number(16)], ["-".join(number(4) for _ in range(4))], [number(4), number(6), number(5)]][form]
+            n = card(15 if form == 3 else 16)
+            fours = [n[a : a + 4] for a in range(0, 16, 4)]
+            return [fours, [n], ["-".join(fours)], [n[:4], n[4:10], n[10:]]][form]
         return [["+1", f"({number(3)})", f"{number(3)}-{number(4)}"], [f"({number(3)})", f"{number(3)}-{number(4)}"], [f"{number(3)}-{number(3)}-{number(4)}"], [f"+{number(2)}", number(3), number(7)]][form]
 
     def plain() -> list[str]:
@@ -276,14 +320,43 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int
         found = texts[i][s:t]
         s, t = s + len(found) - len(found.lstrip("<\"'[{,;:")), t - (len(found) - len(found.rstrip(">\"']}.,;:!?")))
         if t > s:
-            out[i].append(((int(labels[b]) - 1) // 2, s, t))
+            out[i] += holding((int(labels[b]) - 1) // 2, texts[i], s, t)
+    return out
+
+
+def holding(kind: int, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
+    """What holds of a span of the field: itself, the cards that its tokens make in order, or nothing."""
+    name = KINDS[kind]
+    if name == "email":
+        return [(kind, start, end)]
+    if name != "card":
+        return [(kind, start, end)] if valid(name, text[start:end].strip("()")) else []
+    out: list[tuple[int, int, int]] = []
+    tokens = [(m.start() + start, m.end() + start) for m in re.finditer(r"\S+", text[start:end])]
+    k = 0
+    while k < len(tokens):
+        digits = ""
+        for j in range(k, len(tokens)):
+            digits += "".join(_DIGIT.findall(text[slice(*tokens[j])]))
+            if len(digits) > 19:
+                break
+            if len(digits) >= 13 and luhn(digits):
+                out.append((kind, tokens[k][0], tokens[j][1]))
+                k = j
+                break
+        k += 1
     return out
 
 
 def merged(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The base spans and those of ``more`` that touch none of them."""
-    taken = sorted((s, e) for _, s, e in base)
-    return sorted(base + [x for x in more if not any(s < x[2] and x[1] < e for s, e in taken)]) if more else base
+    """The base spans and those of ``more`` that touch none of them. Spans of one kind do not overlap."""
+    out = list(base)
+    for kind in range(len(KINDS)):
+        taken = [(s, e) for k, s, e in base if k == kind]
+        starts, ends = [s for s, _ in taken], [e for _, e in taken]
+        # The first span that ends behind x's start must begin at or behind x's end.
+        more = [x for x in more if (i := bisect_left(ends, x[1] + 1)) == len(ends) or starts[i] >= x[2]]
+    return sorted(out + more)
 
 
 def written_out(spans: list[tuple[int, int, int]]) -> str:
@@ -295,17 +368,20 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
 
     The counts and the digest are of the base spans; ``spans`` lists all, by kind and then start. Null counts
     as the empty text: no spans, the digest of nothing. Repeated rows get equal results; an empty table gives
-    no rows; other columns are ignored.
+    no rows; other columns are ignored. Ids must be integers.
     """
-    held = docs.sparkSession.sparkContext.broadcast(field or train(labelled_table()))
+    field = field or train(labelled_table())
+    # Arrays only: executors load the broadcast without a copy of this package.
+    held = docs.sparkSession.sparkContext.broadcast((field.emit, field.step))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learnt = Field(*held.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts: list[list[int]] = [[] for _ in KINDS]
             digests, spans, added = [], [], []
             for a, b in slices(texts, 1 << 19):
-                for text, more in zip(texts[a:b], field_spans(texts[a:b], held.value), strict=True):
+                for text, more in zip(texts[a:b], field_spans(texts[a:b], learnt), strict=True):
                     base = base_spans(text)
                     every = merged(base, more)
                     for k, column in enumerate(counts):
