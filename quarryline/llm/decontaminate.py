@@ -71,7 +71,8 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
 
     A text of fewer than ``n`` words is one shingle of all its words, so it is only found in a text of the
     same words. Null, empty and wordless texts give no pair, nor do rows without an id; rows with one item_id
-    are one item; repeated documents give one pair. Empty tables give no rows; other columns are ignored.
+    are one item; repeated documents give one pair. Rows with one doc_id are one document: items are sought in each of
+    its texts, and the share is that of all its texts together. Empty tables give no rows; other columns are ignored.
     """
     table = written(item_table(items, n), "items")
     n_rows = table.count()
@@ -82,29 +83,31 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
     signs = signs.select("item_id", "part", F.posexplode(F.array(*[f"s{k}" for k in range(values)])).alias("k", "s"))
     signs = written(signs, "item-signatures")
     marks = signs.select("s", "part").distinct()
+    few_signs = signs.count() <= BROADCAST_ROWS
 
-    bare = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    # Windows are those of one text; rows with one id and text fall together.
+    bare = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("of"))
     # The outer forms keep the optimizer from filtering on the array's size, which would compute it twice.
-    spread = with_shingles(bare, n).select("doc_id", F.posexplode_outer("set").alias("at", "s"))
+    spread = with_shingles(bare, n).select("doc_id", "of", F.posexplode_outer("set").alias("at", "s"))
     # Every position of a marked shingle, and the one or two windows of its part that hold it.
-    met = spread.join(_sized(marks, small), "s")
+    met = spread.join(_sized(marks, few_signs), "s")
     block = F.floor(F.col("at") / F.col("part")).cast("int")
-    met = met.select("doc_id", "part", F.explode(F.array(block, block - 1)).alias("window")).where("window >= 0")
+    met = met.select("doc_id", "of", "part", F.explode(F.array(block, block - 1)).alias("window")).where("window >= 0")
     windows = written(met.distinct(), "marked-windows")
 
     hit = written(windows.select("doc_id").distinct(), "marked-ids")
     again = bare.join(_sized(hit, hit.count() <= BROADCAST_ROWS), "doc_id", "left_semi")
-    again = written(with_shingles(again, n).select("doc_id", F.posexplode_outer("set").alias("at", "s")).where("s is not null"), "marked-documents")
+    again = written(with_shingles(again, n).select("doc_id", "of", F.posexplode_outer("set").alias("at", "s")).where("s is not null"), "marked-documents")
     parts = [r.part for r in signs.select("part").distinct().collect()]  # at most 31 powers of two
     sizes = F.array(*[F.lit(p) for p in parts]) if parts else F.array().cast("array<int>")
-    cells = again.select("doc_id", "s", "at", F.explode(sizes).alias("part"))
+    cells = again.select("doc_id", "of", "s", "at", F.explode(sizes).alias("part"))
     block = F.floor(F.col("at") / F.col("part")).cast("int")
-    cells = cells.select("doc_id", "s", "part", F.explode(F.array_distinct(F.array(block, F.greatest(block - 1, F.lit(0))))).alias("window"))
-    cells = cells.join(windows, ["doc_id", "part", "window"], "left_semi")
-    sketches = cells.groupBy("doc_id", "part", "window").agg(*[F.min(minhash(F.col("s"), k)).alias(f"m{k}") for k in range(values)])
+    cells = cells.select("doc_id", "of", "s", "part", F.explode(F.array_distinct(F.array(block, F.greatest(block - 1, F.lit(0))))).alias("window"))
+    cells = cells.join(windows, ["doc_id", "of", "part", "window"], "left_semi")
+    sketches = cells.groupBy("doc_id", "of", "part", "window").agg(*[F.min(minhash(F.col("s"), k)).alias(f"m{k}") for k in range(values)])
     sketches = sketches.select("doc_id", "part", F.posexplode(F.array(*[f"m{k}" for k in range(values)])).alias("k", "m"))
     signs = signs.withColumn("m", F.xxhash64("s", "k")).drop("s")
-    pairs = written(sketches.join(_sized(signs, small), ["part", "k", "m"]).select("doc_id", "item_id").distinct(), "candidates")
+    pairs = written(sketches.join(_sized(signs, few_signs), ["part", "k", "m"]).select("doc_id", "item_id").distinct(), "candidates")
 
     own = again.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "s").distinct()
     shared = own.join(_sized(table.select("item_id", "s", "q"), small), "s").join(pairs, ["doc_id", "item_id"], "left_semi")

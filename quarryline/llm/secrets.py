@@ -249,7 +249,10 @@ def scan(files: DataFrame, findings: DataFrame | None = None, least: int = 5, th
         known = F.broadcast(known)
     # Fixed places of the rows keep the forest's draws the same in every run.
     rows = features(labelled, pairs, known).repartition(16, "candidate", "before", "after", "path").sortWithinPartitions("candidate", "before", "after", "path", "label")
-    forest = train_forest(rows.cache())
+    # The labelled table only; read several times by the forest.
+    rows = rows.cache()
+    forest = train_forest(rows)
+    rows.unpersist()
     scored = forest.transform(assembled(features(written(all_candidates(files), "candidates"), pairs, known)))
     chance = F.round(vector_to_array("probability")[1], 6)
     return scored.select(

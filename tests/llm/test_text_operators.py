@@ -77,6 +77,17 @@ def test_leaks_match_brute_force(spark):
     assert decontaminate.contaminated(docs(spark, [(1, "a b c d e f", None)]), bench.limit(0)).count() == 0
 
 
+def test_leaks_in_texts_of_one_id(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(9000)}"
+    items = [(j, " ".join(word() for _ in range(30))) for j in range(12)]
+    rows = [(1, " ".join(word() for _ in range(400))) for _ in range(20)]
+    rows += [(2, f"{' '.join(word() for _ in range(60))} {t} {' '.join(word() for _ in range(60))}") for _, t in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(docs(spark, [(i, t, None) for i, t in rows]), bench)
+    assert sorted((r.doc_id, r.item_id, r.containment) for r in got.collect()) == [(2, j, 1.0) for j in range(12)]
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     found = decontaminate.contaminated(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet"))
@@ -418,6 +429,38 @@ def test_resampling_prefers_good_text(spark):
     assert {r.log_ratio for r in got if r.doc_id in (500, 501)} == {0.0}
 
 
+def test_ratios_and_keys_match_a_plain_recount(spark):
+    table, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    slots, seed = 512, 11
+    good = {i for i, q, t in labels.collect() if q == 1 and t == 0} - {i for i, q, t in labels.collect() if q != 1 or t != 0}
+    folds = {r.doc_id: (r.f, r.u) for r in table.select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).alias("f"), F.xxhash64(F.lit(seed), "doc_id").alias("u")).collect()}
+
+    def slot(*tokens):
+        """The slot of a word or a pair of words, from one text that holds nothing else."""
+        return int(quality.gram_slots([" ".join(tokens)], slots)[0][-1])
+
+    known: dict = {}
+    grams = {}
+    for r in table.collect():
+        t = re.findall(r"\w+|[^\w\s]+", r.text.lower())
+        grams[r.doc_id] = Counter(known.setdefault(g, slot(*g)) for g in [(x,) for x in t] + list(zip(t, t[1:])))
+    raw = sum(grams.values(), Counter())
+    base = {k: (raw[k] + 1) / (raw.total() + slots) for k in range(slots)}
+    target = [sum((g for i, g in grams.items() if i in good and folds[i][0] == f), Counter()) for f in (0, 1)]
+    got = {r.doc_id: r for r in quality.resample(table, labels, slots=slots, seed=seed).collect()}
+    n = len(got)
+    for i, g in grams.items():
+        other = target[1 - folds[i][0]]
+        want = sum(c * (math.log((other[k] + slots * base[k]) / (other.total() + slots)) - math.log(base[k])) for k, c in g.items())
+        assert got[i].log_ratio == pytest.approx(want, abs=1e-4)
+        u = ((folds[i][1] % 2**64 >> 11) + 0.5) / 2**53
+        assert got[i].sampling_key == pytest.approx(want - math.log(-math.log(u)), abs=1e-4)
+    judged = {i for i, _, _ in labels.collect()}
+    k = round(len(good) / len(judged) * n)
+    best = sorted(got, key=lambda i: (-got[i].sampling_key, i))[:k]
+    assert {i for i, r in got.items() if r.selected} == set(best)
+
+
 @pytest.mark.parametrize("limit", [0, 200_000])
 def test_target_model_counts_every_good_document(spark, monkeypatch, limit):
     monkeypatch.setattr(quality, "BROADCAST_ROWS", limit, raising=False)
