@@ -193,14 +193,8 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = 0.7, sizes: t
     frequencies = F.broadcast(frequencies) if frequencies.count() <= BROADCAST_TERMS else frequencies
     lower = F.lower(F.col("text"))
     marks = anchors(vectors, idf, threshold)
-    whole_term = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(marks) or '(?!)'})(?![\p{{L}}\p{{N}}])"
-
-    def has_anchor(text: Column) -> Column:
-        # The substring test is cheap; the expression then asks for whole terms.
-        some = F.lit(False)
-        for t in marks:
-            some = some | F.contains(text, F.lit(t))
-        return some & text.rlike(whole_term)
+    known = F.array(*[F.lit(t) for t in marks]) if marks else F.array().cast("array<string>")
+    has_anchor = lambda text: F.arrays_overlap(terms(text), known)
 
     is_file = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME), F.lit(False))
     # Few texts have an anchor at all; the others end here.
