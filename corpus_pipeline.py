@@ -67,5 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         before = made()
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
         # Nothing reads a stage's working tables once its result is written.
-        release(spark, tuple(p for p in made() if p not in before), but=docs)
+        release(spark, made()[len(before) :], but=docs)
     return docs
