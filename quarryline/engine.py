@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarryline import config
 from quarryline.functions import text as T
-from quarryline.operators import answers, context, edges, fusion, lexical, paths, providers, proximity, vectors
+from quarryline.operators import answers, context, edges, evaluation, fusion, lexical, paths, providers, proximity, vectors
 from quarryline.plans.pyast import code_features, parse_sources
 from quarryline.runtime import written
 from quarryline.sources.files import DOCUMENT, EDGE, read_index, read_sources, write_index
@@ -125,10 +126,20 @@ class CodeIndex:
         return answers.generate(queries, self.enrich(results), code_features())
 
     def ask(self, queries: DataFrame, provider: str, top_k: int = 5, candidate_k: int = 20) -> DataFrame:
-        """(qid, answer) by a provider, from the context of the results. Blank queries get no answer."""
-        queries = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "")
-        made = written(self.context(queries, self.search(queries, top_k, candidate_k)), "context")
-        text = context.prompt_text(made)
+        """(qid, answer) by a provider, from the context of the results. A blank question is told so."""
+        asked = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "")
+        made = written(self.context(asked, self.search(asked, top_k, candidate_k)), "context")
         path = F.array_join(F.transform("implementation_paths", lambda p: F.array_join(p, " -> ")), "\n")
-        rows = made.select("qid", "query", path.alias("path")).join(text, "qid")
-        return providers.answer(rows.select("qid", providers.prompt(F.col("query"), F.col("path"), F.col("text")).alias("prompt"), F.lit(None).cast("string").alias("explanation")), provider)
+        rows = made.select("qid", path.alias("path")).join(context.prompt_text(made), "qid")
+        rows = queries.select("qid", "query").join(rows, "qid", "left")
+        prompt = providers.prompt(F.col("query"), F.coalesce("path", F.lit("")), F.coalesce("text", F.lit("")))
+        return providers.answer_questions(rows.select("qid", "query", prompt.alias("prompt"), F.lit(None).cast("string").alias("explanation")), provider)
+
+    def timed_evaluation(self, cases: DataFrame, top_k: int = 5, candidate_k: int = 20) -> DataFrame:
+        """(n_cases, recall, mrr, mean_latency) of cases (qid, query, expected); the batch's seconds are shared by its questions."""
+        began = time.perf_counter()
+        found = self.search(cases.select("qid", "query"), top_k, candidate_k)
+        seconds = time.perf_counter() - began
+        ranked = found.select("qid", F.col("qualified_name").alias("name"), "rank")
+        measured = evaluation.metrics(cases.select("qid", "expected"), ranked, top_k)
+        return measured.withColumn("mean_latency", F.when(F.col("n_cases") > 0, F.lit(seconds) / F.col("n_cases")))

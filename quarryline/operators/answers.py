@@ -123,6 +123,11 @@ def opening(name: Column) -> Column:
     return F.when(verb != "", F.concat(F.lit("`"), name, F.lit("` implements the `"), verb, F.lit("` operation"))).otherwise(F.concat(F.lit("`"), name, F.lit("` contains the main implementation logic")))
 
 
+def path_bullets(name: Column, said: Column) -> Column:
+    """The lines of an implementation path, each once: what the name promises, then what the code does."""
+    return F.transform(F.array_distinct(F.concat(F.array(opening(name)), said)), lambda x: F.concat(F.lit("- "), x))
+
+
 def explanation(features: Column, said: Column) -> Column:
     """Documentation and behaviour of code, a line each."""
     doc = F.when(F.coalesce(features["docstring"], F.lit("")) != "", F.concat(F.lit("Documentation: "), first_paragraph(features["docstring"])))
@@ -149,13 +154,13 @@ def generate(queries: DataFrame, results: DataFrame, code_features) -> DataFrame
     note = explanation(F.col("features"), F.col("said"))
     lines = F.concat(
         F.array(F.concat(F.lit("Based on the retrieved repository code, the relevant implementation path for '"), "query", F.lit("' is:")), F.lit(""), F.lit("Implementation path:")),
-        dashed(F.array_distinct(F.concat(F.array(opening(F.col("qualified_name"))), "said"))),
+        path_bullets(F.col("qualified_name"), F.col("said")),
         F.array(F.lit(""), F.concat(F.lit("The key implementation is "), tick(F.col("qualified_name")), F.lit(".")), F.concat(F.lit("It is defined in "), tick(F.col("file")), F.lit(" at line "), F.col("line").cast("string"), F.lit("."))),
         F.when(note != "", F.array(F.lit(""), note)).otherwise(none),
         block("Implementation structure:", dashed(F.coalesce("structure", none))),
         block("Code graph evidence:", dashed(links)),
         F.concat(F.array(F.lit(""), F.lit("Why this result was selected:")), F.array_compact(F.array(*[at(s) for s in ("bm25", "semantic", "graph")], exact))),
         block("Other relevant implementations:", F.coalesce("near", none)),
-        F.array(F.lit(""), F.lit("Primary retrieved code:"), F.lit("```python"), F.rtrim("code"), F.lit("```")),
+        F.array(F.lit(""), F.lit("Primary retrieved code:"), F.lit("```python"), F.regexp_replace("code", r"\s+$", ""), F.lit("```")),
     )
     return full.select("qid", F.when(F.col("qualified_name").isNull(), NO_RESULT).otherwise(F.array_join(lines, "\n")).alias("answer"))

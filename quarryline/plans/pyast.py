@@ -7,7 +7,7 @@ import textwrap
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.runtime import written
@@ -17,7 +17,7 @@ FILE_SCHEMA = (
     "symbols array<struct<name:string,qualified_name:string,type:string,line:int,end_line:int,text:string,bases:array<string>>>, "
     "imports array<struct<module:string,name:string,level:int,line:int>>, "
     "calls array<struct<caller:string,callee:string,line:int>>, "
-    "flat_calls array<struct<owner:string,call:string,line:int>>"
+    "flat_calls array<struct<owner:string,call:string,line:int,place:int,plain:boolean>>"
 )
 CODE_SCHEMA = "parsed boolean, raised array<string>, calls array<string>, assigned array<string>, targets array<string>, returned array<string>, node_types array<string>, docstring string"
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -86,11 +86,24 @@ def _calls(tree: ast.Module) -> list[dict]:
     return out
 
 
+def _preorder(node: ast.AST) -> Iterator[ast.AST]:
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += reversed(list(ast.iter_child_nodes(node)))
+
+
 def _flat_calls(tree: ast.Module) -> Iterator[dict]:
+    """Calls of functions and methods, nearest to the surface first.
+
+    ``place`` is the order in which the source has them; ``plain`` calls are those of a name or an attribute.
+    """
     owners = [(n.name, n) for n in tree.body if isinstance(n, _DEFS)]
     owners += [(f"{c.name}.{n.name}", n) for c in tree.body if isinstance(c, ast.ClassDef) for n in c.body if isinstance(n, _DEFS)]
     for owner, node in owners:
-        yield from ({"owner": owner, "call": ast.unparse(n.func), "line": n.lineno} for n in ast.walk(node) if isinstance(n, ast.Call))
+        place = {id(n): i for i, n in enumerate(_preorder(node))}
+        yield from ({"owner": owner, "call": ast.unparse(n.func), "line": n.lineno, "place": place[id(n)], "plain": isinstance(n.func, (ast.Name, ast.Attribute))} for n in ast.walk(node) if isinstance(n, ast.Call))
 
 
 def parse_file(file: str, text: str | None) -> dict:
@@ -157,6 +170,16 @@ def parse_sources(sources: DataFrame) -> DataFrame:
     return written(sources.select("file", "text").mapInPandas(run, FILE_SCHEMA), "parsed")
 
 
+#: Lines that stand for a symbol whose end is not known.
+LINES_WITHOUT_END = 80
+
+
+def source_slice(text: Column, line: Column, end_line: Column) -> Column:
+    """The lines of ``text`` from ``line``, counted from 1, to ``end_line``; without an end the next 80, or what is left."""
+    plain = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\n$", "")
+    return F.array_join(F.slice(F.split(plain, "\n"), line, F.coalesce(end_line - line + 1, F.lit(LINES_WITHOUT_END))), "\n")
+
+
 def code_features():
     """A column function: the features of a snippet as a struct of ``CODE_SCHEMA``."""
 

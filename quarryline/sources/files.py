@@ -16,25 +16,38 @@ DOCUMENT = f"id long, {SYMBOL}, text string"
 EDGE = "source string, target string, type string, line int, file string"
 
 
-def _listed(spark: SparkSession, root: str) -> DataFrame:
-    """(file, uri, size) of all files below ``root``, listed by the driver through Hadoop's file system.
+#: Folders of one level that a single task lists.
+_FOLDERS_PER_CALL = 64
 
-    Spark's own readers pass over names that begin with an underscore, as ``__init__.py`` does.
+
+def _listed(spark: SparkSession, root: str, pruned: tuple[str, ...] = ()) -> DataFrame:
+    """(file, uri, size) of all files below ``root`` but for those under a ``pruned`` folder, which is not entered.
+
+    Listed through Hadoop's file system: Spark's own readers pass over names that begin with an underscore, as
+    ``__init__.py`` does.
     """
     top = spark._jvm.org.apache.hadoop.fs.Path(root)
     system = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     top = system.makeQualified(top)
-    base, found, each = str(top).rstrip("/") + "/", [], system.listFiles(top, True)
-    while each.hasNext():
-        status = each.next()
-        uri = str(status.getPath())
-        found.append((uri.removeprefix(base), uri, status.getLen()))
+    base, found, folders = str(top).rstrip("/") + "/", [], [top]
+    while folders:
+        # One call lists many folders; a whole tree needs one for each level and some more.
+        some, folders = folders[:_FOLDERS_PER_CALL], folders[_FOLDERS_PER_CALL:]
+        paths = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(some))
+        for i, p in enumerate(some):
+            paths[i] = p
+        for status in system.listStatus(paths):
+            at = status.getPath()
+            if not status.isDirectory():
+                found.append((str(at).removeprefix(base), str(at), status.getLen()))
+            elif at.getName() not in pruned:
+                folders.append(at)
     return spark.createDataFrame(found, "file string, uri string, size long")
 
 
 def scan_tree(spark: SparkSession, root: str, pruned: tuple[str, ...] = config.PRUNED) -> DataFrame:
     """(file, size) of all files below ``root`` but for those under a pruned folder."""
-    return _listed(spark, root).where(~F.arrays_overlap(F.split("file", "/"), F.array(*[F.lit(p) for p in pruned]))).select("file", "size")
+    return _listed(spark, root, pruned).select("file", "size")
 
 
 def read_sources(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
@@ -46,7 +59,8 @@ def read_sources(spark: SparkSession, root: str, suffix: str = ".py") -> DataFra
         for frame in frames:
             texts = []
             for uri in frame["uri"]:
-                system, path = fs.FileSystem.from_uri(uri)
+                # The stores of Hadoop's s3a go by s3 elsewhere.
+                system, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
                 with system.open_input_stream(path) as f:
                     texts.append(f.read().decode("utf-8", "replace"))
             yield pd.DataFrame({"file": frame["file"], "text": texts})
@@ -54,6 +68,16 @@ def read_sources(spark: SparkSession, root: str, suffix: str = ".py") -> DataFra
     return _listed(spark, root).where(F.col("file").endswith(suffix)).mapInPandas(read, "file string, text string")
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write one small file through Hadoop's file system, with its folders."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def require(spark: SparkSession, path: str) -> str:
     """``path`` if it exists in its file system; otherwise FileNotFoundError."""
     jvm = spark._jvm
@@ -64,15 +88,17 @@ def require(spark: SparkSession, path: str) -> str:
 
 
 def read_index(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """An index written by ``write_index``, or a JSON array."""
+    """An index written by ``write_index``, or a file that holds a JSON array."""
     require(spark, path)
     if path.endswith(".json"):
-        return spark.read.schema(schema).json(path, multiLine=True)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        lines = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()
+        return spark.read.schema(schema).json(path, multiLine=not lines)
     return spark.read.schema(schema).parquet(path)
 
 
 def write_index(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Replace the index at ``path``, as JSON if it is named so, else as parquet."""
+    """Replace the index at ``path``, as JSON, a row a line, if it is named so, else as parquet."""
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

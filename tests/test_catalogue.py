@@ -6,9 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quarryline.catalogue import QUERIES
-from quarryline.oracles import ORACLES
+from quarryline import catalogue, catalogue_code, oracles, oracles_code
 
+QUERIES = catalogue.QUERIES | catalogue_code.QUERIES
+ORACLES = oracles.ORACLES | oracles_code.ORACLES
 SF = "/root/testdata/sf0.001"
 
 
@@ -25,7 +26,7 @@ def plain(value):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES) and len(QUERIES) == 36
+    assert set(QUERIES) == set(ORACLES) and len(QUERIES) == 66
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

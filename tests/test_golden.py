@@ -298,7 +298,7 @@ def test_providers():
     with pytest.raises(ValueError, match="Unknown provider"):
         providers.get_provider("other")
     with pytest.raises(ValueError, match="is not set"):
-        providers.HostedProvider("NO_SUCH_KEY_HERE", lambda k, p: p)
+        providers.HostedProvider("NO_SUCH_KEY_HERE", "m", lambda k, m, p: p)
     with pytest.raises(RuntimeError):
         providers.LocalProvider("http://127.0.0.1:9", timeout=1).generate("x")
 
