@@ -100,10 +100,10 @@ class CodeIndex:
         fused = fusion.fuse(bm25, semantic, graph, rrf_k)
         return written(fusion.rank(fused, self.documents, features, top_k, identifier_weight, self.settings.stop_words), "results")
 
-    def enrich(self, results: DataFrame) -> DataFrame:
-        """Results with their code and their edges."""
+    def enrich(self, results: DataFrame, most: int | None = None) -> DataFrame:
+        """Results with their code and their edges, or with ``most`` only those that an answer reads."""
         wanted = results.select(F.col("qualified_name").alias("node")).distinct()
-        return context.enrich(results, self.documents, edges.relationships(self.graph, wanted))
+        return context.enrich(results, self.documents, edges.relationships(self.graph, wanted), most)
 
     def paths(self, results: DataFrame, max_paths: int = 5) -> DataFrame:
         """(qid, rank, path, steps) of the implementation paths through the results."""
@@ -123,7 +123,7 @@ class CodeIndex:
 
     def answer(self, queries: DataFrame, results: DataFrame) -> DataFrame:
         """(qid, answer) without a language model."""
-        return answers.generate(queries, self.enrich(results), code_features())
+        return answers.generate(queries, self.enrich(results, answers.MOST_RELATIONSHIPS), code_features())
 
     def ask(self, queries: DataFrame, provider: str, top_k: int = 5, candidate_k: int = 20) -> DataFrame:
         """(qid, answer) by a provider, from the context of the results. A blank question is told so."""

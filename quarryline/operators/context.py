@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import first_filled, operation
@@ -23,8 +23,20 @@ def relevant_documents(results: DataFrame, documents: DataFrame) -> DataFrame:
     return first.join(last_of_name(wanted.select("id", "qualified_name", "file", "line", "text")), "qualified_name").select("qid", "rank", "qualified_name", "file", "line", "text")
 
 
-def enrich(results: DataFrame, documents: DataFrame, relationships: DataFrame) -> DataFrame:
-    """``results`` with ``code`` of the document and ``relationships``, its edges in order."""
+def needed(relationships: DataFrame, most: int) -> DataFrame:
+    """Of each node's relationships (with ``place``) what an answer reads: its bases, and the first ``most`` that are told."""
+    told = F.col("type") != "DEFINES"
+    nth = F.row_number().over(Window.partitionBy("node", told).orderBy("place"))
+    bases = F.col("type").isin("INHERITS", "INHERITS_METHOD") & (F.col("source") == F.col("node"))
+    return relationships.withColumn("nth", nth).where(bases | (told & (F.col("nth") <= most))).drop("nth")
+
+
+def enrich(results: DataFrame, documents: DataFrame, relationships: DataFrame, most: int | None = None) -> DataFrame:
+    """``results`` with ``code`` of the document and ``relationships``, its edges in order.
+
+    With ``most`` only those travel that an answer reads, so that a hub's edges are not copied for each question.
+    """
+    relationships = relationships if most is None else needed(relationships, most)
     text = relevant_documents(results, documents).select("qid", "qualified_name", F.col("text").alias("code"))
     near = ordered(relationships, "node", "place", F.struct("source", "target", "type", "line", "direction"), "relationships").withColumnRenamed("node", "qualified_name")
     empty = F.array().cast("array<struct<source:string,target:string,type:string,line:int,direction:string>>")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline import config
 from quarryline.functions.text import first_part, last_part
+from quarryline.plans.order import positions
 from quarryline.plans.pyast import MODULE
 from quarryline.runtime import written
 
@@ -18,13 +19,10 @@ def symbols(parsed: DataFrame) -> DataFrame:
 def documents(symbols_: DataFrame) -> DataFrame:
     """Symbols with an id: their place by file, line and name.
 
-    The place is the rank of the file plus the place in it, so only one row per file is ordered as a whole.
+    Ranges of the order are placed by the sizes of those before them, so no task sees them all.
     """
-    per_file = symbols_.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("file").orderBy("line", "qualified_name")) - 1
-    rows = symbols_.withColumn("place", place).join(per_file.select("file", before.alias("ahead")), "file")
-    return rows.select((F.col("ahead") + F.col("place")).cast("long").alias("id"), "name", "qualified_name", "type", "file", "line", "text")
+    placed = positions(symbols_.select("name", "qualified_name", "type", "file", "line", "text"), "file", "line", "qualified_name", label="symbol-order")
+    return placed.select(F.col("at").cast("long").alias("id"), "row.*")
 
 
 def imports(parsed: DataFrame) -> DataFrame:
@@ -100,6 +98,7 @@ def ancestry(bases: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(class, ancestor, depth, path): every class that breadth-first search over the bases reaches, itself included.
 
     ``path`` holds the positions of the bases taken; (depth, path) orders the search. Cycles end at visited classes.
+    Raises if ``max_rounds`` are not enough.
     """
     edges = bases.select(F.col("class").alias("c"), "base", "pos").distinct()
     seen = edges.select(F.col("c").alias("class")).distinct().select("class", F.col("class").alias("ancestor"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"))
@@ -111,6 +110,8 @@ def ancestry(bases: DataFrame, max_rounds: int = 1000) -> DataFrame:
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+    else:
+        raise RuntimeError(f"the bases of some class are more than {max_rounds - 1} levels deep")
     return seen
 
 
@@ -150,15 +151,8 @@ def assemble(*tables: DataFrame) -> DataFrame:
 
 
 def numbered(edges: DataFrame, order: list[str]) -> DataFrame:
-    """``edges`` with ``ord``: places by the first column of ``order`` are summed, so no task orders all rows."""
-    head, rest = order[0], order[1:]
-    sizes = edges.groupBy(head, *rest[:1]).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(head).orderBy(*rest[:1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    heads = sizes.groupBy(head).agg(F.sum("n").alias("all"))
-    ahead = F.coalesce(F.sum("all").over(Window.orderBy(head).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.withColumn("before", before).join(heads.select(head, ahead.alias("ahead")), head).select(head, *rest[:1], (F.col("before") + F.col("ahead")).alias("offset"))
-    own = F.row_number().over(Window.partitionBy(head, *rest[:1]).orderBy(*rest[1:]))
-    return edges.withColumn("own", own).join(offsets, [head, *rest[:1]]).withColumn("ord", (F.col("own") + F.col("offset")).cast("long")).drop("own", "offset")
+    """``edges`` with ``ord``, their place from 1 in the order; ranges of it are placed by the sizes of those before."""
+    return positions(edges, *order, label="edge-order").select("row.*", (F.col("at") + 1).cast("long").alias("ord"))
 
 
 def valid_edges(edges: DataFrame) -> DataFrame:

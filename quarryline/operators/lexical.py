@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,14 +36,14 @@ class LexicalIndex:
 
 def build_index(docs: DataFrame, text="text", keep: bool = True) -> LexicalIndex:
     """Index (id, text). Statistics cover the whole vocabulary, which the floor of rare weights needs."""
-    words = docs.select("id", F.explode_outer(tokenize(F.coalesce(F.col(text), F.lit("")))).alias("term"))
-    counts = words.groupBy("id", "term").agg(F.count("term").alias("tf"))
-    length = F.sum("tf").over(Window.partitionBy("id"))
-    counts = counts.withColumn("length", length)
+    tokens = docs.select("id", tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    words = tokens.select("id", F.size("tokens").cast("long").alias("length"), F.posexplode_outer("tokens").alias("pos", "term"))
+    # The row of a document's first token, or of a document without one, stands for the document.
+    counts = words.groupBy("id", "length", "term").agg(F.count("term").alias("tf"), (F.coalesce(F.min("pos"), F.lit(0)) == 0).alias("leads"))
     if keep:
         counts = written(counts, "postings")
     postings = counts.where(F.col("term").isNotNull()).select("term", "id", "tf", "length")
-    ids = counts.select("id", "length").distinct()
+    ids = counts.where("leads").select("id", "length")
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     if keep:
         terms = written(terms, "terms")
@@ -83,7 +83,9 @@ def top(index: LexicalIndex, queries: DataFrame, k: int = 5) -> DataFrame:
     scored = scores(index, queries).withColumn("key", F.round("score", 9))
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
     firsts = F.broadcast(index.ids.select("id").orderBy("id").limit(2 * k))  # 2 k rows
-    filler = queries.select("qid").distinct().crossJoin(firsts).join(scored.select("qid", "id"), ["qid", "id"], "left_anti")
+    # Only the scores of those few are needed to tell which of them lack a term.
+    theirs = scores(replace(index, postings=index.postings.join(firsts, "id", "left_semi")), queries)
+    filler = queries.select("qid").distinct().crossJoin(firsts).join(theirs.select("qid", "id"), ["qid", "id"], "left_anti")
     filler = filler.select("qid", "id", F.lit(0.0).alias("score"), F.lit(0.0).alias("key"))
     every = best.unionByName(filler)
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "id", "score", "rank")

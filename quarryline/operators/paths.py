@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.operators.edges import first_edges, outgoing_calls
+from quarryline.operators.edges import first_edges, valid_edges
 
 PATH_NODES = 8
 #: Documents named here follow a deferred edge: (source, target) rows, whose target is taken before any CALLS.
@@ -21,20 +21,21 @@ def build_paths(results: DataFrame, edges: DataFrame, deferred: DataFrame | None
     A query's retrieved names and their targets travel as one small map per query, so a path is one expression.
     """
     first = results.groupBy("qid", "name").agg(F.min("rank").alias("rank"))
-    wanted = first.select("name").distinct()
-    hops = outgoing_calls(edges.join(wanted.withColumnRenamed("name", "source"), "source", "left_semi"))
+    none = F.array().cast("array<string>")
+    # Of a name's targets only those travel that its own query has retrieved.
+    hops = valid_edges(edges).where(F.col("type") == "CALLS").select(F.col("source").alias("name"), "target", "ord").join(first.select("qid", "name"), "name")
+    hops = hops.join(first.select("qid", F.col("name").alias("target")), ["qid", "target"], "left_semi")
+    hops = hops.groupBy("qid", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "target"))), lambda x: x["target"]).alias("targets"))
     if deferred is not None:
         late = deferred.select(F.col("source").alias("node"), F.col("target").alias("late"))
         if known is not None:
             late = late.join(known.select(F.col("qualified_name").alias("late")).distinct(), "late", "left_semi")
-        hops = hops.join(late.groupBy("node").agg(F.array_sort(F.collect_list("late")).alias("late")), "node", "full")
+        late = late.groupBy("node").agg(F.array_sort(F.collect_list("late")).alias("late"))
     else:
-        hops = hops.withColumn("late", F.array().cast("array<string>"))
-    none = F.array().cast("array<string>")
+        late = results.sparkSession.createDataFrame([], "node string, late array<string>")
     # Deferred targets may lead outside the results, from where a deferred edge may lead on.
-    far = hops.where(F.size("late") > 0).agg(F.map_from_entries(F.collect_list(F.struct("node", "late"))).alias("deferred"))
-    near = first.join(hops.withColumnRenamed("node", "name"), "name", "left")
-    maps = near.groupBy("qid").agg(
+    far = late.agg(F.map_from_entries(F.collect_list(F.struct("node", "late"))).alias("deferred"))
+    maps = first.join(hops, ["qid", "name"], "left").groupBy("qid").agg(
         F.map_from_entries(F.collect_list(F.struct("name", F.coalesce("targets", none)))).alias("targets"),
         F.collect_set("name").alias("allowed"),
     )

@@ -9,45 +9,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that are multiplied at once; more go in further passes.
+from quarryline.plans.order import positions
+from quarryline.runtime import written
+
+#: Query vectors that are multiplied at once within a task, and that are broadcast in one pass over the vectors.
 BLOCK = 1024
+PASS = 65_536
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` best scores of each column, ties to the smaller id."""
+    n = len(ids)
+    rows, columns = np.nonzero(scores >= np.partition(scores, n - k, axis=0)[n - k]) if n > k else np.indices(scores.shape).reshape(2, -1)
+    order = np.lexsort((ids[rows], -scores[rows, columns], columns))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(columns)) - np.searchsorted(columns, columns)
+    return rows[place < k], columns[place < k]
+
+
+def _one_pass(table: DataFrame, asked: pa.Table, k: int) -> DataFrame:
+    part = asked.combine_chunks()
+    held = table.sparkSession.sparkContext.broadcast((part.column("qid").to_numpy(), _matrix(part.column("embedding").combine_chunks())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = held.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, own = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            for a in range(0, len(names), BLOCK):
+                scores = np.round(own @ matrix[a : a + BLOCK].T, 9)
+                rows, columns = best_of(ids, scores, k)
+                yield pa.RecordBatch.from_arrays([pa.array(names[a + columns]), pa.array(ids[rows]), pa.array(scores[rows, columns])], ["qid", "id", "score"])
+
+    return table.mapInArrow(run, "qid long, id long, score double")
+
+
 def top(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(qid, id, score, rank): for each query (qid, embedding) the ``k`` best of (id, embedding) by dot product.
 
-    Every batch of vectors is multiplied with a block of queries and keeps its own ``k`` best per query, which
-    one window then ranks; ties go to the smaller id. Null and empty vectors are passed over.
+    Every batch of vectors is multiplied with blocks of queries and keeps its own ``k`` best per query, which
+    one window then ranks; ties go to the smaller id. Null and empty vectors are passed over. ``PASS`` queries are
+    held at a time; more go in further passes, each written before the next begins.
     """
     spark = vectors.sparkSession
-    held = queries.where(F.size("embedding") > 0).select("qid", "embedding").orderBy("qid")
+    held = queries.where(F.size("embedding") > 0).select(F.col("qid").cast("long").alias("qid"), "embedding")
     table = vectors.where(F.size("embedding") > 0).select(F.col("id").cast("long"), "embedding")
-    out: DataFrame | None = None
-    asked = held.toArrow()  # the queries are the user's own batch
-    for start in range(0, asked.num_rows, BLOCK):
-        part = asked.slice(start, BLOCK).combine_chunks()
-        block = spark.sparkContext.broadcast((part.column("qid").to_pylist(), _matrix(part.column("embedding").chunk(0))))
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            names, matrix = block.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = batch.column(0).to_numpy()
-                scores = np.round(_matrix(batch.column(1)) @ matrix.T, 9)
-                order = np.lexsort((np.broadcast_to(ids[:, None], scores.shape), -scores), axis=0)[:k]
-                for j, name in enumerate(names):
-                    some = order[:, j]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.int64()), pa.array(ids[some]), pa.array(scores[some, j])], ["qid", "id", "score"])
-
-        found = table.mapInArrow(run, "qid long, id long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    first = held.limit(PASS + 1).toArrow()  # a pass at most
+    if not first.num_rows:
         out = spark.createDataFrame([], "qid long, id long, score double")
+    elif first.num_rows <= PASS:
+        out = _one_pass(table, first, k)
+    else:
+        placed, out = written(positions(held, "qid", label="query-order").select("row.*", "at"), "queries"), None
+        for start in range(0, placed.count(), PASS):
+            some = placed.where((F.col("at") >= start) & (F.col("at") < start + PASS)).select("qid", "embedding").toArrow()
+            found = written(_one_pass(table, some, k), "pass")
+            out = found if out is None else out.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
