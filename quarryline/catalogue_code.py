@@ -317,4 +317,23 @@ def q66_context_report(spark, sf_dir):
     return reports.context(made, near).select("qid", F.length("report").cast("long").alias("n_chars"), F.md5("report").alias("digest"))
 
 
+def q67_search_paths(spark, sf_dir):
+    """From the search of every question to the paths through what it found."""
+    search = base.Hybrid(spark, sf_dir)
+    found = search.results()
+    made = paths.build_paths(found.select("qid", F.col("qualified_name").alias("name"), "rank"), search.graph)
+    return made.select("qid", "rank", "score", F.array_join("path", ">").alias("path"))
+
+
+def q68_search_context(spark, sf_dir):
+    """From the search of every question to the text of its prompt."""
+    search = base.Hybrid(spark, sf_dir)
+    found = search.results()
+    graph = written(search.graph, "graph")
+    made = written(paths.build_paths(found.select("qid", F.col("qualified_name").alias("name"), "rank"), graph), "paths")
+    steps = paths.path_results(made, paths.path_steps(made, graph.withColumn("line", F.col("line").cast("int"))))
+    built = context.build(search.questions, found, search.docs, steps)
+    return context.prompt_text(built).select("qid", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}

@@ -170,8 +170,8 @@ picked AS (
     FROM docs, size),
 retrieved AS (SELECT qid, rank, docs.* FROM picked JOIN docs ON docs.id = picked.doc)"""
 
-PATHS = f"""
-{RETRIEVED},
+#: From ``retrieved`` and ``edges`` to ``paths`` and the first edge of each pair.
+WALK = """
 starts AS (SELECT qid, qualified_name AS name, min(rank) AS rank FROM retrieved GROUP BY ALL),
 allowed AS (SELECT qid, list(name) AS names FROM starts GROUP BY qid),
 calls AS (SELECT source, list(target ORDER BY ord) AS targets FROM edges WHERE type = 'CALLS' GROUP BY source),
@@ -187,6 +187,10 @@ distinctpaths AS (SELECT qid, path, min(rank) AS start, 15 * len(path) AS score
 paths AS (SELECT * FROM (SELECT qid, path, score::BIGINT AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, start) AS rank FROM distinctpaths) WHERE rank <= 5),
 firsts AS (SELECT source, target, arg_min(type, ord) AS type, min(ord) AS ord, arg_min(line, ord) AS line FROM edges GROUP BY ALL)"""
 
+PATHS = f"{RETRIEVED},{WALK}"
+#: The same after a search.
+SEARCHED = f"{RANKED}, retrieved AS (SELECT qid, rank, docs.* FROM results JOIN docs USING (id)),{WALK}"
+
 
 def _line(kind: str, source: str, target: str) -> str:
     said = f"CASE {kind} WHEN 'CALLS' THEN ' calls ' WHEN 'INHERITS' THEN ' inherits from ' WHEN 'INHERITS_METHOD' THEN ' inherits the method ' WHEN 'IMPORTS' THEN ' imports ' END"

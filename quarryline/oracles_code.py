@@ -6,7 +6,7 @@ from quarryline import config
 from quarryline.operators.answers import NO_RESULT
 from quarryline.operators.providers import BLANK_QUESTION, MockProvider
 from quarryline.operators.reports import RULE
-from quarryline.oracles import ASKED, DOCS, PATHS, _text
+from quarryline.oracles import ASKED, DOCS, PATHS, SEARCHED, _text
 
 #: The files: key, nation, segment, blank lines before the class, and whether the file parses.
 SRC = """
@@ -69,11 +69,12 @@ fired AS (
 said AS (
     SELECT id, list_concat(CASE WHEN len(own) > 0 THEN own WHEN id % 16 <> 0 THEN ['It returns `self.done`.'] ELSE [] END, CASE WHEN id % 16 = 0 THEN [{_text(config.ABSTRACT_SENTENCE)}] ELSE [] END) AS said FROM fired)"""
 
-#: Whole contexts as text, and their paths.
-CONTEXTS = f"""
-{PATHS},
+def _contexts(paths: str, questions: str) -> str:
+    """Whole contexts as text, and their paths; ``questions`` selects (qid, query)."""
+    return f"""
+{paths},
 five AS (SELECT * FROM retrieved WHERE rank <= 5),
-asked AS (SELECT id AS qid, CASE WHEN id % 9 > 0 THEN 'question ' || id ELSE '' END AS query FROM docs),
+wondered AS ({questions}),
 once AS (SELECT qid, qualified_name, any_value(file) AS file, any_value(text) AS text, row_number() OVER (PARTITION BY qid ORDER BY min(rank)) AS i FROM five GROUP BY qid, qualified_name),
 shown AS (SELECT qid, string_agg(chr(10) || '[' || i || '] ' || qualified_name || chr(10) || 'File: ' || file || chr(10) || chr(10) || text, chr(10) ORDER BY i) AS code FROM once GROUP BY qid),
 hops AS (SELECT qid, rank, unnest(range(1, len(path))) AS step, unnest(path[1:len(path) - 1]) AS source, unnest(path[2:]) AS target FROM paths),
@@ -85,7 +86,11 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS i FRO
 listed AS (SELECT qid, string_agg(i || '. ' || qualified_name, chr(10) ORDER BY i) AS found FROM placed GROUP BY qid),
 contexts AS (
     SELECT qid, query, lines, numbered, found, concat_ws(chr(10), CASE WHEN query <> '' THEN 'USER QUERY:' || chr(10) || query END, chr(10) || 'RETRIEVED CODE:', code, chr(10) || 'IMPLEMENTATION PATHS:', walks, chr(10) || 'RETRIEVAL EVIDENCE:', found) AS text
-    FROM asked JOIN shown USING (qid) JOIN walked USING (qid) JOIN listed USING (qid))"""
+    FROM wondered JOIN shown USING (qid) JOIN walked USING (qid) JOIN listed USING (qid))"""
+
+
+CONTEXTS = _contexts(PATHS, "SELECT id AS qid, CASE WHEN id % 9 > 0 THEN 'question ' || id ELSE '' END AS query FROM docs")
+FOUND_CONTEXTS = _contexts(SEARCHED, "SELECT qid, query FROM asked")
 
 _COUNTS = ", ".join(f"(length(text) - length(replace(text, '{c}', '')))::DOUBLE AS c{i}" for i, c in enumerate("etao"))
 ENCODED = f"counted AS (SELECT doc_id AS id, text, {_COUNTS} FROM documents), encoded AS (SELECT *, greatest(sqrt(c0 * c0 + c1 * c1 + c2 * c2 + c3 * c3 + 1), 1e-12) AS size FROM counted)"
@@ -194,4 +199,6 @@ ORACLES = {
             SELECT qid, concat_ws(chr(10), chr(10) || '{RULE}', 'CODEBASE CONTEXT', '{RULE}', CASE WHEN query <> '' THEN chr(10) || 'QUERY:' || chr(10) || query END, chr(10) || 'RETRIEVED RESULTS:', found,
                    chr(10) || 'IMPLEMENTATION PATHS:', numbered, chr(10) || 'GRAPH RELATIONSHIPS:', near, '{RULE}') AS report FROM contexts LEFT JOIN said USING (qid))
         SELECT qid, length(report)::BIGINT AS n_chars, md5(report) AS digest FROM reports""",
+    "q67_search_paths": f"WITH {SEARCHED} SELECT qid, rank, score, array_to_string(path, '>') AS path FROM paths",
+    "q68_search_context": f"WITH {FOUND_CONTEXTS} SELECT qid, length(text)::BIGINT AS n_chars, md5(text) AS digest FROM contexts",
 }
