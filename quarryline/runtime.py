@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark import StorageLevel, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -50,14 +50,19 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Files that one ``written`` table has at most, for each core of the cluster: small files cost more than they hold.
-FILES_PER_CORE = 8
-#: What ``written`` and ``kept`` have made and ``release`` has not given back: folders and frames.
-_MADE: list[str | DataFrame] = []
+#: A table made of little is written in no more files than these for each core of the cluster; more input, more files.
+FILES_PER_CORE = 4
+BYTES_PER_FILE = 256 << 20
+#: Folders that ``written`` has made and ``release`` has not deleted.
+_MADE: list[str] = []
 
 
-def _files(spark: SparkSession) -> int:
-    return FILES_PER_CORE * spark.sparkContext.defaultParallelism
+def _files(df: DataFrame) -> int:
+    """How many files will do, by the size of what the plan reads; tables of unknown size do not count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    read = sum(n for n in sizes if n < 1 << 60)
+    return max(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, min(read // BYTES_PER_FILE, 1 << 24))
 
 
 def written(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
@@ -69,35 +74,21 @@ def written(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     _MADE.append(path)
-    df.coalesce(min(files or _files(spark), _files(spark))).write.parquet(path)
+    df.coalesce(min(files or 1 << 24, _files(df))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep its rows on the executors' disks, for several readers.
-
-    Its lineage stays, so that what a lost executor held is computed again. ``release`` frees the disks.
-    """
-    out = df.coalesce(_files(df.sparkSession)).persist(StorageLevel.DISK_ONLY)
-    out.count()
-    _MADE.append(out)
-    return out
-
-
-def made() -> tuple[str | DataFrame, ...]:
-    """The tables written and kept so far, for ``release``."""
+def made() -> tuple[str, ...]:
+    """The tables written so far, for ``release``."""
     return tuple(_MADE)
 
 
-def release(spark: SparkSession, tables: tuple[str | DataFrame, ...] | None = None, but: DataFrame | None = None) -> None:
-    """Give back tables that ``written`` and ``kept`` have made: all, or those of ``tables``, without the files that ``but`` reads."""
+def release(spark: SparkSession, paths: tuple[str, ...] | None = None, but: DataFrame | None = None) -> None:
+    """Delete tables that ``written`` has made: all, or those of ``paths``, without the files that ``but`` reads."""
     spared = {f.rsplit("/", 2)[-2] for f in but.inputFiles()} if but is not None else set()
-    for table in tables if tables is not None else made():
-        if isinstance(table, str):
-            if table.rsplit("/", 1)[-1] in spared:
-                continue
-            at = spark._jvm.org.apache.hadoop.fs.Path(table)
+    for path in paths if paths is not None else made():
+        if path.rsplit("/", 1)[-1] not in spared:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-        else:
-            table.unpersist()
-        _MADE[:] = [x for x in _MADE if x is not table]
+            if path in _MADE:
+                _MADE.remove(path)
