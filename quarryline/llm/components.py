@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quarryline.runtime import written
 
 
+#: Edges that one file of a round holds at least, but for small graphs.
+EDGES_PER_FILE = 100_000
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
@@ -33,7 +37,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = written(_small_star(_large_star(now)), "cc-edges")
+        now = written(_small_star(_large_star(now)), "cc-edges", max(8, mark[0] // EDGES_PER_FILE))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

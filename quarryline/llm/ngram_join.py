@@ -32,6 +32,10 @@ from quarryline.llm.textnp import BASE, mixed, shingle_hashes, slices
 from quarryline.runtime import written
 
 
+#: Ids up to which they are broadcast (8 bytes each); beyond, texts are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
 def met(similarity, depth, trees: int):
     """The probability that a pair shares a prefix of ``depth`` values in one of ``trees`` tries."""
     return 1 - (1 - similarity**depth) ** trees
@@ -290,6 +294,10 @@ def jaccard_classes(
     pairs = pairs.select("node", (F.shiftrightunsigned(F.xxhash64("tree", "key", low, high), 2) + 17 * packs).alias("unit"), "tree", F.when(low == high, -1).otherwise(F.col("own")).alias("side"))
     meetings = small.unionByName(whole).unionByName(pairs)
 
+    # Most texts meet nothing: where the ids of those that do are few, the others stay where they are.
+    known = known.withColumn("doc_id", F.col("doc_id").cast("long"))
+    if n_near <= BROADCAST_ROWS:
+        known = known.join(F.broadcast(near.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
     wanted = near.select("node").join(nodes.select("node", "keys", "tails", "copies"), "node")
     texts = known.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node").dropDuplicates(["node"])
     sets = shingle_sets(texts.select("node", "copies", "keys", "tails", "text"), n)
