@@ -16,6 +16,8 @@ from quarryline.runtime import made, release, written
 #: and texts in two languages score between this and a half.
 LEAST_SCORE = 0.3
 N_SHARDS = 24
+#: Ids up to which they are broadcast (8 bytes each); beyond, documents are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +26,22 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def _sized(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the smallest doc_id stays, once; rows without doc_id stay."""
+    """Of each group of linked documents the smallest doc_id stays, once; rows without doc_id stay.
+
+    Rows of one id and text count as one; only rows whose id occurs several times are moved to find them.
+    """
     classes = ngram_join.jaccard_classes(docs)
-    surplus = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    return docs.join(surplus, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    surplus = written(classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "surplus-ids")
+    again = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "repeated-ids")
+    left, again = docs.join(_sized(surplus), "doc_id", "left_anti"), _sized(again)
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    once = left.join(again, same, "left_anti").select(*docs.columns)
+    return once.unionByName(left.join(again, same, "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
