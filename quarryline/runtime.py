@@ -52,7 +52,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: A table made of little is written in no more files than these for each core of the cluster; more input, more files.
 FILES_PER_CORE = 4
-BYTES_PER_FILE = 256 << 20
+BYTES_PER_FILE = 64 << 20
 #: Folders that ``written`` has made and ``release`` has not deleted.
 _MADE: list[str] = []
 
