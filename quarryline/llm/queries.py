@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontaminate, exact_dedup, language, licenses, mixing, ngram_join, pii, quality, secrets, sharding
+from quarryline.llm import decontaminate, divergence, exact_dedup, language, licenses, mixing, ngram_join, pii, quality, secrets, sharding, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,17 @@ def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op12_vector_codes": op12_vector_codes,
+    "op13_source_divergence": op13_source_divergence,
     "op7_secret_scan": op7_secret_scan,
     "op6_personal_data": op6_personal_data,
     "op4_license_scan": op4_license_scan,
@@ -75,9 +85,58 @@ QUERIES = {
 _TEMPLATES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
 #: Sizes of windows, each with the next smaller one.
 _SHAPES = ", ".join(f"({w}, {before})" for before, w in zip((0, *licenses.WINDOWS), licenses.WINDOWS))
+#: One round of the codebooks: the nearest entry of each distinct part, and the entries moved to the mean of theirs.
+_NEAREST = """(
+            SELECT p, piece, n, e, dist FROM (
+                SELECT u.p, u.piece, u.n, b.e, list_sum(list_transform(list_zip(u.piece, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist,
+                       row_number() OVER (PARTITION BY u.p, u.piece ORDER BY list_sum(list_transform(list_zip(u.piece, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.e) AS r
+                FROM uniq u JOIN {book} b ON b.p = u.p) WHERE r = 1)"""
+_MOVED = """(
+            SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM {book} b LEFT JOIN (
+                SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY k) AS c FROM (
+                    SELECT p, e, k, sum(piece[k] * n) AS s, sum(n) AS n FROM {near}, (SELECT unnest(range(1, d + 1)) AS k FROM width) GROUP BY ALL) GROUP BY p, e) m ON m.p = b.p AND m.e = b.e)"""
 _FILE = r"'(?i)^(licen[cs]e|copying|notice)([._-].*)?$'"
 
 ORACLES = {
+    "op12_vector_codes": f"""
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        width AS (SELECT max(len(v)) // 16 AS d FROM kept),
+        parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * d + 1:(p + 1) * d] AS piece FROM kept, width, (SELECT unnest(range(16)) AS p)),
+        uniq AS MATERIALIZED (SELECT p, piece, count(*) AS n FROM parts GROUP BY ALL),
+        book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, piece AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+        near0 AS MATERIALIZED {_NEAREST.format(book="book0")},
+        book1 AS MATERIALIZED {_MOVED.format(book="book0", near="near0")},
+        near1 AS MATERIALIZED {_NEAREST.format(book="book1")},
+        book2 AS MATERIALIZED {_MOVED.format(book="book1", near="near1")},
+        near2 AS MATERIALIZED {_NEAREST.format(book="book2")},
+        signed AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS s FROM book2),
+        coded AS (
+            SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(dist)::BIGINT AS error
+            FROM parts JOIN near2 USING (p, piece) GROUP BY vec_id, label)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, s AS codebooks_sha256 FROM coded, signed""",
+    "op13_source_divergence": r"""
+        WITH rows AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        words AS (SELECT row, lang, source, unnest(w) AS term FROM rows),
+        kept AS MATERIALIZED (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+        counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+        sizes AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+        groups AS MATERIALIZED (
+            SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM rows) g LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+        dense AS MATERIALIZED (
+            SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (total + v)) AS p, (1 + 1000000000::HUGEINT * (lang_n + 1) // (lang_total + v)) AS q
+            FROM groups g JOIN kept k USING (lang) JOIN sizes USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        every AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM dense WHERE n > 0 AND p > q)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM every) WHERE part = 'pair' OR rank <= 200""",
     "op3_jaccard_join": r"""
         WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
         runs AS MATERIALIZED (
