@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontaminate, divergence, exact_dedup, language, licenses, mixing, ngram_join, pii, quality, secrets, sharding, vector_codes
+from quarryline.llm import decontaminate, divergence, exact_dedup, language, licenses, mixing, ngram_join, pii, quality, secrets, sharding, suffix_dedup, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_kept = F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - n_kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
 
@@ -67,6 +73,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_vector_codes": op12_vector_codes,
     "op13_source_divergence": op13_source_divergence,
     "op7_secret_scan": op7_secret_scan,
@@ -98,6 +105,20 @@ _MOVED = """(
 _FILE = r"'(?i)^(licen[cs]e|copying|notice)([._-].*)?$'"
 
 ORACLES = {
+    "op11_suffix_dedup": r"""
+        WITH docs AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+        chunks AS (SELECT doc_id, g * 1000 AS base, least(1000, n - 99 - g * 1000) AS many, substr(h, 1 + g * 2000, 2198) AS part FROM docs, unnest(range(0, greatest((n + 900) // 1000, 0))) u(g) WHERE n >= 100),
+        starts AS (SELECT doc_id, base + i AS pos, substr(part, 2 * i + 1, 200) AS string FROM (SELECT doc_id, base, part, unnest(range(greatest(many, 0))) AS i FROM chunks)),
+        windows AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY string ORDER BY doc_id, pos) AS r FROM starts),
+        later AS (SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 100 THEN 0 ELSE 1 END AS opens FROM windows WHERE r > 1),
+        spans AS (SELECT doc_id, min(pos) AS a, max(pos) + 100 AS b FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM later) GROUP BY doc_id, g),
+        gaps AS (
+            SELECT doc_id, coalesce(lag(b) OVER w, 0) AS x, a AS y FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+            UNION ALL SELECT doc_id, max(b), max(n) FROM spans JOIN docs USING (doc_id) GROUP BY doc_id),
+        kept AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS k FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id),
+        counts AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+        FROM docs LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op12_vector_codes": f"""
         WITH kept AS MATERIALIZED (
             SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
