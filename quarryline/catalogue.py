@@ -6,7 +6,7 @@ sales tables, and a document graph of arithmetic on ids. The operators are the e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as T
@@ -394,4 +394,13 @@ def q36_diagnose(spark, sf_dir):
     return evaluation.diagnose(*_cases(spark, sf_dir)).select("qid", F.col("rank").cast("long").alias("rank"), "name", "is_expected")
 
 
+def q69_vector_cells(spark, sf_dir):
+    """The nearest vectors of every vector, itself left out, by cells."""
+    known = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    found, _ = vectors.top_by_cells(known, known.withColumnRenamed("id", "qid"), 4)
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    ranked = found.where(F.col("qid") != F.col("id")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 3)
+    return ranked.select("qid", "id", F.col("rank").cast("long").alias("rank"), six("score").alias("score"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}

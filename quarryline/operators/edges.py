@@ -94,25 +94,30 @@ def resolve_imports(found: DataFrame, files: DataFrame) -> DataFrame:
     return hit.where(F.col("target").isNotNull()).select(*_edge("file", "target", "IMPORTS", "line", F.lit(None).cast("string")))
 
 
-def ancestry(bases: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def ancestry(bases: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(class, ancestor, depth, path): every class that breadth-first search over the bases reaches, itself included.
 
     ``path`` holds the positions of the bases taken; (depth, path) orders the search. Cycles end at visited classes.
-    Raises if ``max_rounds`` are not enough.
+    Paths are doubled: after n rounds all ancestors of depth up to 2 ** n are known, each by its first path, and a
+    further one is reached by the first path to an ancestor at exactly that depth and the first path from there. So
+    the rounds grow with the logarithm of the depth. Raises if ``max_rounds`` are not enough.
     """
     edges = bases.select(F.col("class").alias("c"), "base", "pos").distinct()
-    seen = edges.select(F.col("c").alias("class")).distinct().select("class", F.col("class").alias("ancestor"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"))
-    front = seen
-    for depth in range(1, max_rounds):
-        step = front.join(edges, front["ancestor"] == edges["c"]).select("class", F.col("base").alias("ancestor"), F.concat("path", F.array("pos")).alias("path"))
-        step = step.groupBy("class", "ancestor").agg(F.min("path").alias("path")).join(seen.select("class", "ancestor"), ["class", "ancestor"], "left_anti")
-        front = written(step.select("class", "ancestor", F.lit(depth).alias("depth"), "path"), "ancestry")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    else:
-        raise RuntimeError(f"the bases of some class are more than {max_rounds - 1} levels deep")
-    return seen
+    first = F.min(F.struct("depth", "path")).alias("way")
+    own = edges.select(F.col("c").alias("class"), F.col("c").alias("ancestor"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"))
+    one = edges.select(F.col("c").alias("class"), F.col("base").alias("ancestor"), F.lit(1).alias("depth"), F.array("pos").cast("array<int>").alias("path"))
+    known = written(own.unionByName(one).groupBy("class", "ancestor").agg(first).select("class", "ancestor", "way.*"), "ancestry")
+    reach = 1
+    for _ in range(max_rounds):
+        far = known.where(F.col("depth") == reach).select("class", F.col("ancestor").alias("via"), F.col("path").alias("ahead"))
+        on = known.where("depth > 0").select(F.col("class").alias("via"), "ancestor", F.col("depth").alias("more"), F.col("path").alias("behind"))
+        step = far.join(on, "via").select("class", "ancestor", (F.col("more") + reach).alias("depth"), F.concat("ahead", "behind").alias("path"))
+        step = step.groupBy("class", "ancestor").agg(first).select("class", "ancestor", "way.*").join(known.select("class", "ancestor"), ["class", "ancestor"], "left_anti")
+        fresh = written(step, "ancestry")
+        if fresh.isEmpty():
+            return known
+        known, reach = known.unionByName(fresh), 2 * reach
+    raise RuntimeError(f"the bases of some class are more than 2 ** {max_rounds} levels deep")
 
 
 def inherited_methods(wanted: DataFrame, bases: DataFrame, names: DataFrame) -> DataFrame:

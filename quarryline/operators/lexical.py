@@ -1,41 +1,67 @@
-"""BM25 over postings."""
+"""BM25 over postings, with bounds for blocks of documents.
+
+Documents whose ids lie together form a block. For each term and block the greatest weight that a document of the block
+gets is kept. Where the postings of all queries are many, a search goes by these bounds: the blocks with the greatest
+sums are scored first, and the score of the k-th document found is a threshold. In any other block, the terms with the
+least bounds that stay below the threshold together cannot bring a document into the result; only documents with one of
+the remaining terms are met, and only those whose bound reaches the threshold are scored. A block without remaining
+terms is skipped.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline import config
 from quarryline.functions.text import tokenize
 from quarryline.runtime import written
 
-#: Up to so many terms of all queries together, their table is broadcast.
+#: Up to so many terms of all queries together, their table is broadcast; so is what they want of blocks.
 SMALL_ROWS = 100_000
+#: Ids of a block, and blocks of a query that are scored to find its threshold.
+BLOCK_IDS, FIRST_BLOCKS = 64, 16
+#: Up to so many meetings of a query's term with a document, all are scored, which costs less than bounds do.
+SCORE_ALL = 200_000_000
 
 
 @dataclass
 class LexicalIndex:
-    """``postings`` (term, id, tf, length), ``terms`` (term, df), ``corpus`` (n_docs, avgdl, mean_raw) and ``ids``."""
+    """``postings`` (term, id, tf, length), ``terms`` (term, df), ``corpus`` (n_docs, avgdl, mean_raw), ``ids`` and
+    ``blocks`` (term, block, best): the greatest weight of a term in a block, before its idf."""
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
     ids: DataFrame
+    blocks: DataFrame
 
     def save(self, path: str) -> None:
         self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        for name in ("terms", "corpus", "ids"):
+        for name in ("terms", "corpus", "ids", "blocks"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark, path: str) -> LexicalIndex:
-        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "corpus", "ids")))
+        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "corpus", "ids", "blocks")))
+
+
+def block_of(id_: Column) -> Column:
+    return F.floor(id_ / BLOCK_IDS)
+
+
+def weight(k1: float, b: float) -> Column:
+    """What an occurrence count and a length make of a term, before its idf."""
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
 
 
-def build_index(docs: DataFrame, text="text", keep: bool = True) -> LexicalIndex:
-    """Index (id, text). Statistics cover the whole vocabulary, which the floor of rare weights needs."""
+def build_index(docs: DataFrame, text="text", keep: bool = True, k1: float = config.BM25_K1, b: float = config.BM25_B) -> LexicalIndex:
+    """Index (id, text). Statistics cover the whole vocabulary, which the floor of rare weights needs.
+
+    The bounds of the blocks hold for ``k1`` and ``b``.
+    """
     tokens = docs.select("id", tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
     words = tokens.select("id", F.size("tokens").cast("long").alias("length"), F.posexplode_outer("tokens").alias("pos", "term"))
     # The row of a document's first token, or of a document without one, stands for the document.
@@ -51,11 +77,13 @@ def build_index(docs: DataFrame, text="text", keep: bool = True) -> LexicalIndex
     raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     mean = terms.crossJoin(F.broadcast(size)).agg(F.avg(raw).alias("mean_raw"))  # one row each
     corpus = size.crossJoin(mean)
-    return LexicalIndex(postings, terms, written(corpus, "corpus") if keep else corpus, ids)
+    corpus = written(corpus, "corpus") if keep else corpus
+    blocks = postings.crossJoin(F.broadcast(corpus)).groupBy("term", block_of(F.col("id")).alias("block")).agg(F.max(weight(k1, b)).alias("best"))  # one row
+    return LexicalIndex(postings, terms, corpus, ids, written(blocks, "blocks") if keep else blocks)
 
 
-def scores(index: LexicalIndex, queries: DataFrame, k1: float = config.BM25_K1, b: float = config.BM25_B, epsilon: float = config.BM25_EPSILON) -> DataFrame:
-    """(qid, id, score) of all documents that share a term with a query (qid, query).
+def query_terms(index: LexicalIndex, queries: DataFrame, epsilon: float = config.BM25_EPSILON) -> DataFrame:
+    """(qid, term, times, idf, avgdl, df) of the terms of queries (qid, query) that the index has.
 
     A term of the query counts as often as it occurs there. Negative weights become ``epsilon`` times the mean
     weight of the vocabulary.
@@ -64,28 +92,81 @@ def scores(index: LexicalIndex, queries: DataFrame, k1: float = config.BM25_K1,
     corpus = F.broadcast(index.corpus)  # one row
     raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     weighed = asked.join(index.terms, "term").crossJoin(corpus).withColumn("idf", F.when(raw < 0, epsilon * F.col("mean_raw")).otherwise(raw))
-    weighed = weighed.select("qid", "term", "times", "idf", "avgdl")
-    # At most as many rows as the queries have different terms, which is counted without the index.
-    few = asked.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    hits = index.postings.join(F.broadcast(weighed) if few else weighed, "term")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
-    return hits.groupBy("qid", "id").agg(F.sum(part).alias("score"))
+    return weighed.select("qid", "term", "times", "idf", "avgdl", "df")
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
-def top(index: LexicalIndex, queries: DataFrame, k: int = 5) -> DataFrame:
+def _summed(hits: DataFrame, k1: float, b: float) -> DataFrame:
+    return hits.groupBy("qid", "id").agg(F.sum(F.col("times") * F.col("idf") * weight(k1, b)).alias("score"))
+
+
+def scores(index: LexicalIndex, queries: DataFrame, k1: float = config.BM25_K1, b: float = config.BM25_B, epsilon: float = config.BM25_EPSILON) -> DataFrame:
+    """(qid, id, score) of all documents that share a term with a query (qid, query)."""
+    return _summed(index.postings.join(_sized(query_terms(index, queries, epsilon)), "term"), k1, b)
+
+
+def block_bounds(index: LexicalIndex, terms: DataFrame) -> DataFrame:
+    """(qid, block, term, bound): no document of the block gets more from the term; one of negative weight may be missing."""
+    met = index.blocks.join(_sized(terms), "term")
+    return met.select("qid", "block", "term", (F.greatest(F.col("idf"), F.lit(0.0)) * F.col("times") * F.col("best")).alias("bound"))
+
+
+def block_hits(index: LexicalIndex, terms: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The postings, with the query's weights, that the ``wanted`` (qid, block, term) meet."""
+    need = written(wanted.select("qid", "block", "term").join(terms, ["qid", "term"]), "wanted-blocks")
+    return index.postings.withColumn("block", block_of(F.col("id"))).join(_sized(need), ["term", "block"])
+
+
+def best_in_blocks(index: LexicalIndex, terms: DataFrame, k: int, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
+    """The ``k`` best scored documents of each query (qid, id, score, key), and the (qid, block, term) that were met."""
+    order = Window.partitionBy("qid").orderBy(F.desc("key"), "id")
+    rank, key = F.row_number().over(order), F.round("score", 9)
+    bounds = written(block_bounds(index, terms), "block-bounds")
+    sums = bounds.groupBy("qid", "block").agg(F.sum("bound").alias("bound"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "block"))
+    first = written(sums.withColumn("place", place).where(F.col("place") <= FIRST_BLOCKS).select("qid", "block"), "first-blocks")
+    met = bounds.join(first, ["qid", "block"], "left_semi")
+    found = written(_summed(block_hits(index, terms, met), k1, b).withColumn("key", key).withColumn("rank", rank).where(F.col("rank") <= k), "first-scores")
+
+    reached = found.where(F.col("rank") == k).select("qid", (F.col("key") - 2e-9).alias("least"))  # keys are rounded, and equal ones count
+    rest = bounds.join(first, ["qid", "block"], "left_anti").join(reached, "qid", "left")
+    by_bound = Window.partitionBy("qid", "block").orderBy("bound", "term")
+    needed = F.col("least").isNull() | (F.sum("bound").over(by_bound) >= F.col("least"))
+    rest = written(rest.withColumn("needed", needed), "other-blocks")
+    needed = rest.where("needed")
+    slack = rest.groupBy("qid", "block").agg(F.sum(F.when(F.col("needed"), 0.0).otherwise(F.col("bound"))).alias("slack"), F.first("least").alias("least")).where("least is not null")
+    parts = block_hits(index, terms, needed).groupBy("qid", "block", "id").agg(F.sum(F.col("times") * F.col("idf") * weight(k1, b)).alias("part"))
+    able = F.col("least").isNull() | (F.col("part") + F.col("slack") >= F.col("least"))
+    likely = written(parts.join(slack, ["qid", "block"], "left").where(able).select("qid", "block", "id"), "likely-documents")
+    more = rest.join(likely.select("qid", "block").distinct(), ["qid", "block"], "left_semi")
+    more = block_hits(index, terms, more).join(likely.select("qid", "id"), ["qid", "id"], "left_semi")
+    every = found.drop("rank").unionByName(_summed(more, k1, b).withColumn("key", key))
+    read = met.unionByName(needed.select(met.columns)).select("qid", "block", "term")
+    return every.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), read
+
+
+def top(index: LexicalIndex, queries: DataFrame, k: int = 5, k1: float = config.BM25_K1, b: float = config.BM25_B) -> DataFrame:
     """(qid, id, score, rank): the ``k`` best of all documents, ties to the smaller id.
 
     Documents without a term of the query have score 0 and fill the tail in order of their ids. A query lacks
     at most ``k`` of them, and those are among the ``2 k`` smallest ids, or the query has ``k`` scored documents with
-    smaller ids and, unless scores are negative, no tail. So no query meets every document.
+    smaller ids and, unless scores are negative, no tail. So no query meets every document. ``k1`` and ``b`` are those
+    of the index.
     """
     order = Window.partitionBy("qid").orderBy(F.desc("key"), "id")
-    scored = scores(index, queries).withColumn("key", F.round("score", 9))
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+    terms = written(query_terms(index, queries), "query-terms")
+    if terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0] <= SCORE_ALL:
+        best = _summed(index.postings.join(_sized(terms.drop("df")), "term"), k1, b).withColumn("key", F.round("score", 9))
+        best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+    else:
+        best, _ = best_in_blocks(index, terms.drop("df"), k, k1, b)
     firsts = F.broadcast(index.ids.select("id").orderBy("id").limit(2 * k))  # 2 k rows
-    # Only the scores of those few are needed to tell which of them lack a term.
-    theirs = scores(replace(index, postings=index.postings.join(firsts, "id", "left_semi")), queries)
-    filler = queries.select("qid").distinct().crossJoin(firsts).join(theirs.select("qid", "id"), ["qid", "id"], "left_anti")
+    # Which of those few share a term with a query.
+    theirs = index.postings.join(firsts, "id", "left_semi").join(_sized(terms.select("qid", "term")), "term").select("qid", "id").distinct()
+    filler = queries.select("qid").distinct().crossJoin(firsts).join(theirs, ["qid", "id"], "left_anti")
     filler = filler.select("qid", "id", F.lit(0.0).alias("score"), F.lit(0.0).alias("key"))
     every = best.unionByName(filler)
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "id", "score", "rank")

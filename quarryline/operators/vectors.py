@@ -1,4 +1,12 @@
-"""Exact search over unit vectors."""
+"""Exact search by dot product.
+
+Up to ``PASS`` queries are broadcast, and every batch of vectors is multiplied with them. More queries meet the vectors
+through cells: each vector belongs to the nearest of some pivots, and with a pivot p, the greatest distance r of its
+vectors from it and a query q, no vector of the cell gives more than q p + |q| r. A query meets its most promising cells
+first; the k-th score found there is the threshold that the bound of any other cell must reach. Queries and vectors are
+joined by cell, a large cell and its many queries in pieces, so that no query passes through the driver and each vector
+is read once for either step, however many queries there are.
+"""
 
 from __future__ import annotations
 
@@ -9,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.plans.order import positions
 from quarryline.runtime import written
 
-#: Query vectors that are multiplied at once within a task, and that are broadcast in one pass over the vectors.
+#: Query vectors that are multiplied at once within a task, and that are broadcast.
 BLOCK = 1024
-PASS = 65_536
+PASS = 16_384
+#: Cells at most, vectors of the sample from which their pivots are fitted, and rounds of fitting.
+CELLS, SAMPLE, ROUNDS = 1024, 16_384, 4
+#: Vectors, and queries, of one piece of a cell; cells that a query meets first.
+PIECE, FIRST_CELLS = 8192, 2
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -49,27 +60,111 @@ def _one_pass(table: DataFrame, asked: pa.Table, k: int) -> DataFrame:
     return table.mapInArrow(run, "qid long, id long, score double")
 
 
+def fit_pivots(table: DataFrame, n_rows: int) -> np.ndarray:
+    """Pivots by some rounds of k-means over a sample: the ``SAMPLE`` rows with the least hash of their id."""
+    found = table.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").toArrow()  # a bounded sample
+    sample = _matrix(found.column("embedding").combine_chunks())
+    pivots = np.unique(sample, axis=0)
+    n_cells = int(max(1, min(CELLS, len(pivots), n_rows**0.5 / 4)))
+    pivots = pivots[np.linspace(0, len(pivots) - 1, n_cells).astype(int)]
+    for _ in range(ROUNDS):
+        near = ((pivots**2).sum(1) - 2 * sample @ pivots.T).argmin(1)
+        for c in np.unique(near):
+            pivots[c] = sample[near == c].mean(0)
+    return pivots
+
+
+def in_cells(table: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(cell, id, embedding, far): each vector with its nearest pivot and its distance from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = _matrix(batch.column(1))
+                near = ((pivots**2).sum(1) - 2 * own @ pivots.T).argmin(1)
+                far = np.sqrt(((own - pivots[near]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *batch.columns, pa.array(far)], ["cell", "id", "embedding", "far"])
+
+    return table.mapInArrow(run, f"cell int, id long, embedding {table.schema['embedding'].dataType.simpleString()}, far double")
+
+
+def cell_bounds(queries: DataFrame, pivots: np.ndarray, reach: dict[int, float]) -> DataFrame:
+    """(qid, cell, bound, place) of each query and cell with vectors; ``place`` orders a query's cells by bound."""
+    cells = np.array(sorted(reach), np.int32)
+    centres, radius = pivots[cells], np.array([reach[c] for c in cells.tolist()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                some = batch.slice(a, BLOCK)
+                own = _matrix(some.column(1))
+                # A little is added for what floating point may lose.
+                bound = own @ centres.T + np.sqrt((own**2).sum(1))[:, None] * radius[None] + 1e-8
+                order = np.argsort(-bound, axis=1, kind="stable")
+                place = np.empty_like(order)
+                np.put_along_axis(place, order, np.arange(len(cells))[None].repeat(len(own), 0), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column(0).to_numpy(), len(cells))), pa.array(np.tile(cells, len(own))), pa.array(bound.reshape(-1)), pa.array(place.reshape(-1).astype(np.int32))], ["qid", "cell", "bound", "place"])
+
+    return queries.mapInArrow(run, "qid long, cell int, bound double, place int")
+
+
+def _met(cells: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score): the best of each piece of a cell for each query that wants the cell; ``asked`` is (cell, qid, embedding)."""
+
+    def run(own: pa.Table, queries: pa.Table) -> pa.Table:
+        kind = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+        parts = [kind.empty_table()]
+        if own.num_rows and queries.num_rows:
+            ids, matrix, names = own.column("id").to_numpy(), _matrix(own.column("embedding").combine_chunks()), queries.column("qid").to_numpy()
+            wanted = _matrix(queries.column("embedding").combine_chunks())
+            for a in range(0, len(names), BLOCK):
+                scores = np.round(matrix @ wanted[a : a + BLOCK].T, 9)
+                rows, columns = best_of(ids, scores, k)
+                parts.append(pa.table([pa.array(names[a + columns]), pa.array(ids[rows]), pa.array(scores[rows, columns])], schema=kind))
+        return pa.concat_tables(parts)
+
+    pieces = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias(name))
+    counts = F.broadcast(pieces(cells, "n_own").join(pieces(asked, "n_asked"), "cell"))  # a row a cell
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = cells.join(counts, "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n_own")).cast("int")).withColumn("some", spread("n_asked"))
+    right = asked.join(counts, "cell").withColumn("some", F.pmod(F.xxhash64("qid"), F.col("n_asked")).cast("int")).withColumn("own", spread("n_own"))
+    place = ["cell", "own", "some"]
+    left, right = left.select(*place, "id", "embedding"), right.select(*place, "qid", "embedding")
+    return left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(run, "qid long, id long, score double")
+
+
+def top_by_cells(table: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(qid, id, score) with the ``k`` best of each query among them, and the (qid, cell) that were met."""
+    pivots = fit_pivots(table, table.count())
+    cells = written(in_cells(table, pivots), "vector-cells")
+    reach = {r.cell: r.r for r in cells.groupBy("cell").agg(F.max("far").alias("r")).collect()}  # a row a cell
+    queries = written(queries, "vector-queries")
+    bounds = written(cell_bounds(queries, pivots, reach), "cell-bounds")
+    wanted = lambda pairs: pairs.join(queries, "qid").select("cell", "qid", "embedding")
+    first = bounds.where(F.col("place") < FIRST_CELLS).select("qid", "cell")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    found = written(_met(cells, wanted(first), k).withColumn("rank", rank).where(F.col("rank") <= k), "first-cells")
+    reached = found.where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
+    rest = bounds.where(F.col("place") >= FIRST_CELLS).join(reached, "qid", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+    rest = written(rest.select("qid", "cell"), "other-cells")
+    return found.drop("rank").unionByName(_met(cells, wanted(rest), k)), first.unionByName(rest)
+
+
 def top(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(qid, id, score, rank): for each query (qid, embedding) the ``k`` best of (id, embedding) by dot product.
 
-    Every batch of vectors is multiplied with blocks of queries and keeps its own ``k`` best per query, which
-    one window then ranks; ties go to the smaller id. Null and empty vectors are passed over. ``PASS`` queries are
-    held at a time; more go in further passes, each written before the next begins.
+    Scores are rounded to nine digits; ties go to the smaller id. Null and empty vectors are passed over. Up to ``PASS``
+    queries are broadcast, more go by cells; both are exact.
     """
-    spark = vectors.sparkSession
     held = queries.where(F.size("embedding") > 0).select(F.col("qid").cast("long").alias("qid"), "embedding")
     table = vectors.where(F.size("embedding") > 0).select(F.col("id").cast("long"), "embedding")
-    first = held.limit(PASS + 1).toArrow()  # a pass at most
-    if not first.num_rows:
-        out = spark.createDataFrame([], "qid long, id long, score double")
+    first = held.limit(PASS + 1).toArrow()  # bounded
+    if not first.num_rows or table.isEmpty():
+        out = vectors.sparkSession.createDataFrame([], "qid long, id long, score double")
     elif first.num_rows <= PASS:
         out = _one_pass(table, first, k)
     else:
-        placed, out = written(positions(held, "qid", label="query-order").select("row.*", "at"), "queries"), None
-        for start in range(0, placed.count(), PASS):
-            some = placed.where((F.col("at") >= start) & (F.col("at") < start + PASS)).select("qid", "embedding").toArrow()
-            found = written(_one_pass(table, some, k), "pass")
-            out = found if out is None else out.unionByName(found)
+        out, _ = top_by_cells(table, held, k)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -257,6 +257,11 @@ ORACLES = {
         dots AS (SELECT q.id AS qid, v.id, round(list_dot_product(q.e, v.e), 9) AS score FROM v q CROSS JOIN v WHERE q.id % 100 = 0),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM dots)
         SELECT qid, id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 5""",
+    "q69_vector_cells": """
+        WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+        dots AS (SELECT q.id AS qid, v.id, round(list_dot_product(q.e, v.e), 9) AS score FROM v q JOIN v ON q.id <> v.id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM dots)
+        SELECT qid, id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 3""",
     "q21_bm25_topk": f"WITH {DOCS}, {ASKED}, more AS (SELECT * FROM asked UNION ALL SELECT -1, 'zzzqqq nothing' UNION ALL SELECT -2, 'the the src1'), {_bm25('more', 5)} SELECT qid, id, rank, round(score, 6) AS score FROM bm25",
     "q24_rrf": f"WITH {HYBRID} SELECT qid, id, round(rrf, 6) AS rrf_score, sources FROM fused",
     "q25_final": f"WITH {RANKED} SELECT qid, rank, id AS document_id, qualified_name, round(rrf, 6) AS rrf_score, round(ident, 6) AS identifier_score, round(nm, 6) AS name_match_score, round(ent, 6) AS entity_match_score, round(final, 6) AS final_score FROM results",
