@@ -286,12 +286,14 @@ def q61_load_documents(spark, sf_dir):
 
 
 def _tree(spark, sf_dir) -> str:
-    """A small source tree in the shared folder, one file per nation; the driver writes these 25."""
+    """The documents as a source tree in the shared folder, written by the executors: a file each, some in packages of
+    their own, some under a pruned folder, some of another kind."""
+    key = F.col("doc_id")
+    kind, number = key % 7, key.cast("string")
+    name = F.when(kind == 0, F.concat(F.lit("d"), number, F.lit("/__init__.py"))).when(kind == 5, F.concat(F.lit("m"), number, F.lit(".txt"))).otherwise(F.concat(F.lit("m"), number, F.lit(".py")))
+    file = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.when(kind == 6, ".git").otherwise(F.coalesce("lang", F.lit("none"))), name)
     place = f"{shared_folder(spark)}/tree-{spark.range(1).select(F.uuid()).first()[0]}"
-    for r in base.table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect():
-        folder = ".git" if r.n_nationkey % 6 == 5 else f"r{r.n_regionkey}"
-        name = f"d{r.n_nationkey}/__init__.py" if r.n_nationkey < 5 else f"n{r.n_nationkey}.{'txt' if r.n_nationkey % 6 == 4 else 'py'}"
-        files.put_text(spark, f"{place}/{folder}/{name}", f"x = {r.n_nationkey}\n")
+    files.write_tree(base.table(spark, sf_dir, "documents").select(file.alias("file"), "text"), place)
     return place
 
 

@@ -187,15 +187,28 @@ def first_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target").agg(F.min_by(F.struct("type", "line"), "ord").alias("e")).select("source", "target", "e.type", "e.line")
 
 
+#: Places of the edge order that are ranked together.
+PIECE_EDGES = 1 << 16
+
+
 def relationships(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, source, target, type, line, direction, place) of the ``nodes``: incoming edges first, then outgoing."""
+    """(node, source, target, type, line, direction, place) of the ``nodes``: incoming edges first, then outgoing.
+
+    A node's edges are ranked in pieces of ``PIECE_EDGES`` places of the edge order, so that no task sorts those of a hub:
+    a piece's edges are numbered by themselves, and the sizes of a node's earlier pieces are added.
+    """
     wanted = nodes.select("node").distinct()
     rows = valid_edges(edges)
     into = rows.withColumns({"node": F.col("target"), "direction": F.lit("incoming")})
     out = rows.withColumns({"node": F.col("source"), "direction": F.lit("outgoing")})
     both = into.unionByName(out).join(wanted, "node", "left_semi")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("direction", "ord")).cast("long")
-    return both.select("node", "source", "target", "type", "line", "direction", place.alias("place"))
+    both = both.withColumn("piece", F.floor(F.col("ord") / PIECE_EDGES))
+    whole = ["node", "direction", "piece"]
+    sizes = both.groupBy(*whole).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("node").orderBy("direction", "piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(*whole).orderBy("ord"))
+    ranked = both.withColumn("inside", place).join(sizes.select(*whole, before.alias("before")), whole)
+    return ranked.select("node", "source", "target", "type", "line", "direction", (F.col("before") + F.col("inside")).cast("long").alias("place"))
 
 
 def counters(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -99,6 +99,10 @@ ENCODED = f"counted AS (SELECT doc_id AS id, text, {_COUNTS} FROM documents), en
 def _some(n: int, value: str) -> str:
     return f"CASE c_custkey % {n} WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE {value} END"
 
+#: The documents as files of a tree.
+TREE = """
+    SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'none') || '/' || CASE WHEN doc_id % 7 = 6 THEN '.git' ELSE coalesce(lang, 'none') END || '/'
+           || CASE WHEN doc_id % 7 = 0 THEN 'd' || doc_id || '/__init__.py' WHEN doc_id % 7 = 5 THEN 'm' || doc_id || '.txt' ELSE 'm' || doc_id || '.py' END AS file FROM documents"""
 
 ORACLES = {
     "q37_symbols": f"WITH {SYMS} SELECT file, name, qualified_name, type, line, end_line FROM syms",
@@ -175,12 +179,8 @@ ORACLES = {
         SELECT 'R' || r_regionkey AS qualified_name, 'R' AS type, 'geo' AS file, r_regionkey::INTEGER AS line, true AS absent FROM region UNION ALL SELECT 'N' || n_nationkey, 'N', 'geo', n_nationkey::INTEGER, true FROM nation
         UNION ALL SELECT 'S' || s_suppkey, 'S', 'geo', s_suppkey::INTEGER, true FROM supplier UNION ALL SELECT 'C' || c_custkey, 'C', 'geo', c_custkey::INTEGER, true FROM customer""",
     "q61_load_documents": "SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 4 = 0 THEN 'N' || n_nationkey ELSE n_name END AS qualified_name, n_name AS text FROM nation WHERE n_nationkey % 7 <> 6 AND n_nationkey <> 11",
-    "q62_tree_scan": """
-        SELECT 'r' || n_regionkey || '/' || CASE WHEN n_nationkey < 5 THEN 'd' || n_nationkey || '/__init__.py' ELSE 'n' || n_nationkey || CASE WHEN n_nationkey % 6 = 4 THEN '.txt' ELSE '.py' END END AS file, (5 + length(n_nationkey::VARCHAR))::BIGINT AS size
-        FROM nation WHERE n_nationkey % 6 <> 5""",
-    "q63_read_sources": """
-        SELECT CASE WHEN n_nationkey % 6 = 5 THEN '.git' ELSE 'r' || n_regionkey END || '/' || CASE WHEN n_nationkey < 5 THEN 'd' || n_nationkey || '/__init__.py' ELSE 'n' || n_nationkey || '.py' END AS file, 'x = ' || n_nationkey || chr(10) AS text
-        FROM nation WHERE n_nationkey < 5 OR n_nationkey % 6 <> 4""",
+    "q62_tree_scan": f"SELECT file, strlen(text) AS size FROM ({TREE}) WHERE doc_id % 7 <> 6",
+    "q63_read_sources": f"SELECT file, text FROM ({TREE}) WHERE doc_id % 7 <> 5",
     "q64_structure_report": f"""
         WITH {SRC}, t AS (SELECT *, chr(10) AS nl, chr(10) || '      → ' AS deep, chr(10) || '    → ' AS near FROM good)
         SELECT file, 'CODE STRUCTURE' || nl || nl || 'File: ' || file || nl || nl || 'CLASS: C' || k || nl || '  Inherits from: Base' || n || ', ext.Mixin'

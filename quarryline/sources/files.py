@@ -2,80 +2,109 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarryline import config
+from quarryline.runtime import written
 
 SYMBOL = "name string, qualified_name string, type string, file string, line int"
 DOCUMENT = f"id long, {SYMBOL}, text string"
 EDGE = "source string, target string, type string, line int, file string"
 
 
-#: Folders of one level that a single task lists.
-_FOLDERS_PER_CALL = 64
+#: (store, path in it) of a URI; runs on executors.
+Opener = Callable[[str], tuple["fs.FileSystem", str]]
 
 
-def _listed(spark: SparkSession, root: str, pruned: tuple[str, ...] = ()) -> DataFrame:
-    """(file, uri, size) of all files below ``root`` but for those under a ``pruned`` folder, which is not entered.
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store of a URI or absolute path, with the credentials that the machine has for it. Hadoop's s3a go by s3."""
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
-    Listed through Hadoop's file system: Spark's own readers pass over names that begin with an underscore, as
-    ``__init__.py`` does.
+
+def _below(root: str, name: str) -> str:
+    return f"{root.rstrip('/')}/{name}" if name else root
+
+
+def _listed(spark: SparkSession, root: str, pruned: tuple[str, ...] = (), opener: Opener = open_store) -> DataFrame:
+    """(file, size) of all files below ``root`` but for those under a ``pruned`` folder, which is not entered.
+
+    Executors list the folders of one level after the other; the names stay in tables in the shared folder, and
+    the driver only asks whether a level has folders. One folder is listed by one task. (Spark's own readers pass over
+    names that begin with an underscore, as ``__init__.py`` does.) A link is followed as its store does; a folder that
+    is gone by the time it is listed has no files.
     """
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    system = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    top = system.makeQualified(top)
-    base, found, folders = str(top).rstrip("/") + "/", [], [top]
-    while folders:
-        # One call lists many folders; a whole tree needs one for each level and some more.
-        some, folders = folders[:_FOLDERS_PER_CALL], folders[_FOLDERS_PER_CALL:]
-        paths = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(some))
-        for i, p in enumerate(some):
-            paths[i] = p
-        for status in system.listStatus(paths):
-            at = status.getPath()
-            if not status.isDirectory():
-                found.append((str(at).removeprefix(base), str(at), status.getLen()))
-            elif at.getName() not in pruned:
-                folders.append(at)
-    return spark.createDataFrame(found, "file string, uri string, size long")
-
-
-def scan_tree(spark: SparkSession, root: str, pruned: tuple[str, ...] = config.PRUNED) -> DataFrame:
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = opener(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = store.get_file_info(fs.FileSelector(_below(top, folder), allow_not_found=True))
+                for a in range(0, len(found), 10_000):
+                    some = found[a : a + 10_000]
+                    names = [f"{folder}/{x.base_name}" if folder else x.base_name for x in some]
+                    columns = [pa.array(names, pa.string()), pa.array([x.base_name for x in some], pa.string()), pa.array([x.type == fs.FileType.Directory for x in some]), pa.array([x.size or 0 for x in some], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["file", "name", "is_folder", "size"])
+
+    level, files = spark.createDataFrame([("",)], "folder string"), None
+    while True:
+        found = written(level.mapInArrow(entries, "file string, name string, is_folder boolean, size long"), "tree-level")
+        own = found.where(~F.col("is_folder")).select("file", "size")
+        files = own if files is None else files.unionByName(own)
+        level = found.where(F.col("is_folder") & ~F.col("name").isin(*pruned)).select(F.col("file").alias("folder"))
+        if level.isEmpty():
+            return files
+        level = level.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "folder")
+
+
+def scan_tree(spark: SparkSession, root: str, pruned: tuple[str, ...] = config.PRUNED, opener: Opener = open_store) -> DataFrame:
     """(file, size) of all files below ``root`` but for those under a pruned folder."""
-    return _listed(spark, root, pruned).select("file", "size")
+    return _listed(spark, root, pruned, opener)
 
 
-def read_sources(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
-    """(file, text) of every source file below ``root``; paths are relative, with ``/``. Executors read the texts."""
+def read_sources(spark: SparkSession, root: str, suffix: str = ".py", opener: Opener = open_store) -> DataFrame:
+    """(file, text) of every source file below ``root``; paths are relative, with ``/``.
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
+    Executors list the folders and read the texts, a file at a time; bytes that are no UTF-8 are replaced.
+    """
 
-        for frame in frames:
-            texts = []
-            for uri in frame["uri"]:
-                # The stores of Hadoop's s3a go by s3 elsewhere.
-                system, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-                with system.open_input_stream(path) as f:
-                    texts.append(f.read().decode("utf-8", "replace"))
-            yield pd.DataFrame({"file": frame["file"], "text": texts})
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = opener(root)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(_below(top, name)) as f:
+                    text = f.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([text])], ["file", "text"])
 
-    return _listed(spark, root).where(F.col("file").endswith(suffix)).mapInPandas(read, "file string, text string")
+    names = _listed(spark, root, opener=opener).where(F.col("file").endswith(suffix)).select("file")
+    return names.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").mapInArrow(read, "file string, text string")
 
 
-def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write one small file through Hadoop's file system, with its folders."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
+def write_tree(rows: DataFrame, root: str, opener: Opener = open_store) -> int:
+    """Write (file, text) as a tree below ``root``, a null text as an empty file; how many were written.
+
+    Executors write under a name of the attempt and rename, so that a task that is run again leaves whole files.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = opener(root)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path = _below(top, name)
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                part = f"{path}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
+                    f.write((text or "").encode())
+                store.move(part, path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return rows.select("file", "text").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def require(spark: SparkSession, path: str) -> str:
@@ -127,16 +156,19 @@ def load_documents(spark: SparkSession, path: str) -> DataFrame:
 def cached_vectors(documents: DataFrame, path: str, encode) -> DataFrame:
     """(id, embedding): read from ``path`` where the text has been encoded before, else by ``encode``.
 
-    Rows are keyed by the SHA-256 of the text, so that a changed text is encoded anew. ``encode`` takes a frame
-    (digest, text) and returns (digest, embedding).
+    Rows are keyed by the SHA-256 of the text, null counting as '', so that a changed text is encoded anew. ``encode``
+    takes a frame (digest, text) and returns (digest, embedding). Several jobs may fill one cache: a text that two have
+    encoded is there twice and read once, with the lesser of the two vectors. One id gets one row for each of its rows.
     """
     spark = documents.sparkSession
-    texts = documents.select(F.sha2("text", 256).alias("digest"), "text").distinct()
+    text = F.coalesce("text", F.lit(""))
+    texts = documents.select(F.sha2(text, 256).alias("digest"), text.alias("text")).distinct()
+    schema = "digest string, embedding array<float>"
     try:
-        known = spark.read.schema("digest string, embedding array<float>").parquet(require(spark, path))
+        known = spark.read.schema(schema).parquet(require(spark, path))
     except FileNotFoundError:
         known = None
     missing = texts if known is None else texts.join(known.select("digest"), "digest", "left_anti")
     encode(missing).select("digest", "embedding").write.mode("append").parquet(path)
-    known = spark.read.schema("digest string, embedding array<float>").parquet(path)
-    return documents.select("id", F.sha2("text", 256).alias("digest")).join(known, "digest").select("id", "embedding")
+    known = spark.read.schema(schema).parquet(path).groupBy("digest").agg(F.min("embedding").alias("embedding"))
+    return documents.select("id", F.sha2(text, 256).alias("digest")).join(known, "digest").select("id", "embedding")
