@@ -81,3 +81,20 @@ def test_empty_table(spark, table):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+NAMES = ("again", "score", "lang_pred", "times", "row", "curve", "held", "column0", "n", "class_id", "item_id", "taken")
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_pass_columns_of_any_name_and_odd_rows(spark, table, stage):
+    odd = spark.createDataFrame([(None, None, None, None, None), (9001, "", "en", None, 0), (9002, "words of a small text that stands here twice", None, "s", 8), (9002, "words of a small text that stands here twice", None, "s", 8)], table.schema)
+    docs = table.limit(60).unionByName(odd)
+    for k, c in enumerate(NAMES):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c}-{k}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    out = stage(spark, docs, SF)
+    added = ["size", "shard", "slot"] if stage is corpus_pipeline.cut_shards else []
+    assert out.columns == docs.columns + added
+    rows = out.collect()
+    assert rows and all(r[c] == f"{c}-{k}-{'none' if r.doc_id is None else r.doc_id}" for r in rows for k, c in enumerate(NAMES))
+    assert stage(spark, docs.limit(0), SF).count() == 0
