@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as T
-from quarryline.operators import answers, context, edges, evaluation, fusion, lexical, paths, proximity, vectors
+from quarryline.operators import answers, context, edges, evaluation, fusion, lexical, names, paths, proximity, vectors
 
 CANDIDATES = 10
 
@@ -147,8 +147,8 @@ def q04_inherits_method(spark, sf_dir):
     customer = table(spark, sf_dir, "customer").withColumn("method", F.lower("c_mktsegment"))
     methods = customer.select(_key("C", "c_custkey").alias("class"), "method", F.col("c_custkey").alias("line"), F.lit("geo.py").alias("file"))
     bases = customer.select(_key("C", "c_custkey").alias("class"), _key("N", "c_nationkey").alias("base"))
-    names = methods.select(F.concat_ws(".", "class", "method").alias("qualified_name")).unionByName(customer.where(F.col("c_acctbal") > 9500).select(F.concat_ws(".", _key("N", "c_nationkey"), "method").alias("qualified_name")))
-    return edges.inherits_method(methods, bases, names).select("source", "target", "type", "line")
+    known = methods.select(F.concat_ws(".", "class", "method").alias("qualified_name")).unionByName(customer.where(F.col("c_acctbal") > 9500).select(F.concat_ws(".", _key("N", "c_nationkey"), "method").alias("qualified_name")))
+    return edges.inherits_method(methods, bases, known).select("source", "target", "type", "line")
 
 
 def q05_resolve_imports(spark, sf_dir):
@@ -233,30 +233,32 @@ def _samples(spark) -> DataFrame:
 
 
 def q14_identifiers(spark, sf_dir):
-    asked = _samples(spark).unionByName(questions(spark, sf_dir).select((F.col("qid") + 100).alias("qid"), "query"))
-    return asked.select("qid", F.array_join(T.identifiers(F.col("query")), "|").alias("identifiers"))
+    return _every_question(spark, sf_dir).select("qid", F.array_join(T.identifiers(F.col("query")), "|").alias("identifiers"))
 
 
-def _scored(spark, sf_dir) -> DataFrame:
-    features = fusion.query_features(_samples(spark))
-    return documents(spark, sf_dir).select("id", "qualified_name").crossJoin(F.broadcast(features))  # the sample queries
+def _every_question(spark, sf_dir) -> DataFrame:
+    return _samples(spark).unionByName(questions(spark, sf_dir).select((F.col("qid") + 100).alias("qid"), "query"))
+
+
+def _asked_names(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return fusion.query_features(_every_question(spark, sf_dir)), documents(spark, sf_dir).select("id", F.col("qualified_name").alias("name"))
 
 
 def q15_identifier_score(spark, sf_dir):
-    return _scored(spark, sf_dir).select("qid", "id", T.identifier_score(F.col("identifiers"), F.col("qualified_name")).alias("score"))
+    """Of every question and document that score; so are the next two."""
+    return names.identifier_scores(*_asked_names(spark, sf_dir))
 
 
 def q16_name_match(spark, sf_dir):
-    return _scored(spark, sf_dir).select("qid", "id", six(T.name_score(F.col("tokens"), T.name_tokens(F.col("qualified_name")))).alias("score"))
+    return names.name_scores(*_asked_names(spark, sf_dir)).select("qid", "id", six("score").alias("score"))
 
 
 def q17_entity(spark, sf_dir):
-    return _scored(spark, sf_dir).select("qid", "id", T.entity_score(F.col("tokens"), F.col("qualified_name")).alias("score"))
+    return names.entity_scores(*_asked_names(spark, sf_dir))
 
 
 def q18_expand(spark, sf_dir):
-    asked = _samples(spark).unionByName(questions(spark, sf_dir).select((F.col("qid") + 100).alias("qid"), "query"))
-    return asked.select("qid", T.expand(F.col("query")).alias("expanded"))
+    return _every_question(spark, sf_dir).select("qid", T.expand(F.col("query")).alias("expanded"))
 
 
 def q19_action(spark, sf_dir):

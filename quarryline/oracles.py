@@ -247,9 +247,9 @@ ORACLES = {
         SELECT qualified_name AS key, array_to_string(list_sort({_name_tokens('qualified_name')}), ' ') AS tokens FROM docs
         UNION ALL SELECT 'q' || qid, array_to_string(list_sort({_query_tokens('query')}), ' ') FROM asked""",
     "q14_identifiers": f"WITH {MORE_SAMPLES} SELECT qid, array_to_string({_identifiers('query')}, '|') AS identifiers FROM every",
-    "q15_identifier_score": f"WITH {DOCS}, {SAMPLES}, q AS (SELECT *, {_expand('query')} AS e FROM samples), f AS (SELECT qid, {_identifiers('e')} AS ids FROM q) SELECT qid, id, {_identifier_score('ids', 'qualified_name')} AS score FROM docs, f",
-    "q16_name_match": f"WITH {DOCS}, {SAMPLES}, f AS (SELECT qid, {_query_tokens('query')} AS tokens FROM samples) SELECT qid, id, round({_name_score('tokens', 'qualified_name')}, 6) AS score FROM docs, f",
-    "q17_entity": f"WITH {DOCS}, {SAMPLES}, f AS (SELECT qid, {_query_tokens('query')} AS tokens FROM samples) SELECT qid, id, {_entity_score('tokens', 'qualified_name')} AS score FROM docs, f",
+    "q15_identifier_score": f"WITH {DOCS}, {MORE_SAMPLES}, q AS (SELECT *, {_expand('query')} AS e FROM every), f AS (SELECT qid, {_identifiers('e')} AS ids FROM q) SELECT * FROM (SELECT qid, id, {_identifier_score('ids', 'qualified_name')} AS score FROM docs, f) WHERE score > 0",
+    "q16_name_match": f"WITH {DOCS}, {MORE_SAMPLES}, f AS (SELECT qid, {_query_tokens('query')} AS tokens FROM every) SELECT * FROM (SELECT qid, id, round({_name_score('tokens', 'qualified_name')}, 6) AS score FROM docs, f) WHERE score > 0",
+    "q17_entity": f"WITH {DOCS}, {MORE_SAMPLES}, f AS (SELECT qid, {_query_tokens('query')} AS tokens FROM every) SELECT * FROM (SELECT qid, id, {_entity_score('tokens', 'qualified_name')} AS score FROM docs, f) WHERE score > 0",
     "q18_expand": f"WITH {MORE_SAMPLES} SELECT qid, {_expand('query')} AS expanded FROM every",
     "q19_action": f"WITH {DOCS} SELECT id, array_to_string(list_filter(string_split({_LAST.format('qualified_name')}, '_'), lambda p: p <> ''), ' ') AS action, {_LAST.format('qualified_name')} AS last, split_part(qualified_name, '.', 1) AS first FROM docs",
     "q20_vector_topk": """
