@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.runtime import written
@@ -78,8 +78,102 @@ You should have received a copy of the GNU General Public License
 along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
     ),
     ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    (
+        "GPL-2.0",
+        """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along
+with this program; if not, write to the Free Software Foundation, Inc.,
+51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    ),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    (
+        "LGPL-3.0",
+        """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Lesser General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    ),
+    (
+        "LGPL-2.1",
+        """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public
+License along with this library; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA""",
+    ),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    (
+        "AGPL-3.0",
+        """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU Affero General Public License for more details.
+
+You should have received a copy of the GNU Affero General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    ),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International Public License"),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International Public License"),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International Public License"),
+    (
+        "BSD-2-Clause",
+        """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    ),
+    (
+        "ISC",
+        """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    ),
     (
         "BSD-3-Clause",
         """Redistribution and use in source and binary forms, with or without
@@ -107,6 +201,8 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 #: How a notice opens.
 NOTICE = "licensed under|released under|this work is licensed under"
+#: A window that says that something is not under a licence is no notice of it.
+NEGATED = "(not|never|no longer)[ ]+([a-z]+[ ]+)?(licensed|released|distributed|published|available|covered|provided)[ ]+under"
 #: Numbers of lines that a window has: next to any length there is one that is at most half as long again.
 WINDOWS = (1, 2, 3, 4, 6, 8, 12, 16, 24)
 #: Up to so many different terms of a corpus, their frequencies are broadcast to the windows' terms.
@@ -154,19 +250,20 @@ def anchors(vectors: list[tuple[int, str, str, float]], idf: dict[str, float], t
     return sorted(kept)
 
 
-def windows(lines: Column, has_anchor, sizes: tuple[int, ...]) -> Column:
-    """(line, size, unit) of the windows over an array of lines: of each size, from each line with an anchor.
+def windows(rows: DataFrame, has_anchor, sizes: tuple[int, ...]) -> DataFrame:
+    """(doc_id, path, line, size, unit) of the windows over the lines of ``low``: of each size, from each line with an anchor.
 
-    A window that holds no more lines than the next smaller size, at the end of a text, is left out.
+    Lines are rows, which meet the next ones of their text in a sliding frame, so that no row holds more than one
+    line's windows. A window that holds no more lines than the next smaller size, at the end of a text, is left out.
     """
-    at = F.array_compact(F.transform(lines, lambda x, i: F.when(has_anchor(x), i + 1)))
+    whose = ["doc_id", "path", "of"]
+    lines = rows.select(*whose, F.posexplode(F.split("low", "\n")).alias("at", "text"))
+    ahead = F.collect_list("text").over(Window.partitionBy(*whose).orderBy("at").rowsBetween(0, max(sizes) - 1))
+    starts = lines.withColumn("ahead", ahead).where(has_anchor(F.col("text")))
     shapes = F.array(*[F.struct(F.lit(w).alias("size"), F.lit(before).alias("before")) for before, w in zip((0, *sizes), sizes)])
-
-    def of(i: Column) -> Column:
-        fitting = F.filter(shapes, lambda s: (s["before"] == 0) | (i + s["before"] <= F.size(lines)))
-        return F.transform(fitting, lambda s: F.struct(i.cast("int").alias("line"), s["size"].alias("size"), F.array_join(F.slice(lines, i, s["size"]), "\n").alias("unit")))
-
-    return F.flatten(F.transform(at, of))
+    fitting = F.filter(shapes, lambda s: s["before"] < F.size("ahead"))
+    units = starts.select("doc_id", "path", (F.col("at") + 1).alias("line"), "ahead", F.explode(fitting).alias("s"))
+    return units.select("doc_id", "path", F.col("line").cast("int").alias("line"), F.col("s.size").alias("size"), F.array_join(F.slice("ahead", 1, F.col("s.size")), "\n").alias("unit"))
 
 
 def scan(files: DataFrame, templates=TEMPLATES, threshold: float = 0.7, sizes: tuple[int, ...] = WINDOWS) -> DataFrame:
@@ -174,7 +271,8 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = 0.7, sizes: t
 
     ``files`` has doc_id, path and text. ``score`` is the best cosine of ``threshold`` or more and ``line`` the number,
     from 1, of the first line of the window that has it, or 0 for the whole text of a licence file. Equal scores go to
-    the first line, then the fewest lines, then the template that comes first. ``origin`` is ``file`` (a licence file
+    the first line, then the fewest lines, then the template that comes first. A window that says that something is
+    *not* released (licensed, distributed, ...) under a licence is no notice. ``origin`` is ``file`` (a licence file
     with a licence of its own), ``header`` (any other file with one), ``inherited`` (``license_file`` is the path of the
     source) or ``none``. Of several licence files in one directory the best score counts, then the smallest path. Null
     and empty texts have no licence of their own; a null path inherits nothing. Rows with one doc_id and path
@@ -199,9 +297,10 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = 0.7, sizes: t
     is_file = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME), F.lit(False))
     # Few texts have an anchor at all; the others end here.
     rows = base.select("doc_id", "path", lower.alias("low")).where(has_anchor(F.col("low")))
-    whole = F.when(is_file & F.contains("low", F.lit("\n")), F.array(F.struct(F.lit(0).alias("line"), F.lit(0).alias("size"), F.col("low").alias("unit"))))
-    none = F.array().cast("array<struct<line:int,size:int,unit:string>>")
-    units = rows.withColumn("lines", F.split("low", "\n")).select("doc_id", "path", F.explode(F.concat(F.coalesce(whole, none), windows(F.col("lines"), has_anchor, sizes))).alias("u")).select("doc_id", "path", "u.*")
+    rows = rows.groupBy("doc_id", "path", F.xxhash64("low").alias("of")).agg(F.first("low").alias("low"))
+    zero = F.lit(0)
+    whole = rows.where(F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME), F.lit(False)) & F.contains("low", F.lit("\n"))).select("doc_id", "path", zero.alias("line"), zero.alias("size"), F.col("low").alias("unit"))
+    units = whole.unionByName(windows(rows, has_anchor, sizes)).where(~F.col("unit").rlike(NEGATED))
     rows_of = ["doc_id", "path", "line", "size"]
     words = units.select(*rows_of, F.explode(terms(F.col("unit"))).alias("term")).groupBy(*rows_of, "term").agg(F.count(F.lit(1)).alias("tf"))
     words = written(words, "licence-terms")

@@ -195,9 +195,10 @@ ORACLES = {
         lines AS (SELECT doc_id, path, ls, unnest(range(1, len(ls) + 1)) AS line FROM (SELECT doc_id, path, string_split(low, chr(10)) AS ls FROM files)),
         anchored AS (SELECT lines.* FROM lines, anchors WHERE list_has_any(regexp_extract_all(ls[line], '[\p{{L}}\p{{N}}]+'), marks)),
         shapes AS (SELECT * FROM (VALUES {_SHAPES}) v(w, earlier)),
-        units AS (
+        every AS (
             SELECT doc_id, path, line, w, array_to_string(ls[line:line + w - 1], chr(10)) AS unit FROM anchored, shapes WHERE earlier = 0 OR line + earlier <= len(ls)
             UNION ALL SELECT doc_id, path, 0, 0, low FROM files WHERE contains(low, chr(10)) AND regexp_matches(string_split(path, '/')[-1], {_FILE})),
+        units AS (SELECT * FROM every WHERE NOT regexp_matches(unit, '{licenses.NEGATED}')),
         words AS (SELECT doc_id, path, line, w, term, count(*) AS tf FROM (SELECT doc_id, path, line, w, unnest(regexp_extract_all(unit, '[\p{{L}}\p{{N}}]+')) AS term FROM units) GROUP BY ALL),
         weighed AS (SELECT words.*, tf * idf AS x FROM words JOIN idf USING (term)),
         norms AS (SELECT doc_id, line, w, sqrt(sum(x * x)) AS norm FROM weighed GROUP BY ALL),

@@ -226,6 +226,27 @@ def test_licence_scores_match_brute_force(spark):
     assert all(own[300 + k][0] is None for k, (_, t) in enumerate(licenses.TEMPLATES) if len(t.split()) > 40)
 
 
+def test_near_licences_are_told_apart_and_negations_are_none(spark):
+    filler = "plain words about nothing in particular here"
+    text = dict(licenses.TEMPLATES[::-1])  # the first notice of each licence
+    longest = {name: max((t for n, t in licenses.TEMPLATES if n == name), key=len) for name in text}
+    cases = [(name, longest[name]) for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "ISC")]
+    cases += [(name, text[name]) for name in ("CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0")]
+    cases += [("GPL-2.0", longest["GPL-2.0"].replace("This program", "This tool")), ("LGPL-2.1", longest["LGPL-2.1"].replace("library", "driver"))]
+    cases += [(None, "This file is not released under the MIT License."), (None, "It was never licensed under the Apache License, Version 2.0."), (None, "no longer distributed under the MIT License")]
+    files = [(k, f"a/{k}.txt", f"{filler}\n{t}\n{filler}") for k, (_, t) in enumerate(cases)] + [(100 + k, f"b/{k}.txt", f"{filler} number {k}") for k in range(200)]
+    found = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert [found[k] for k in range(len(cases))] == [name for name, _ in cases]
+
+
+def test_windows_of_a_long_text_are_rows_of_their_own(spark):
+    lines = 20_000
+    body = "\n".join("Released under the MIT License." if k % 4 == 0 else f"line {k}" for k in range(lines))
+    rows = spark.createDataFrame([(1, "a.txt", body.lower(), 5)], "doc_id long, path string, low string, of long")
+    made = licenses.windows(rows, lambda c: F.contains(c, F.lit("mit")), licenses.WINDOWS)
+    assert made.count() > lines // 4 * 8 and made.agg(F.max(F.length("unit"))).first()[0] < 24 * 40
+
+
 def test_licence_query_has_all_origins(spark):
     found = licenses.scan(licenses.document_paths(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
     origins = Counter(r.origin for r in found.select("origin").collect())
