@@ -40,7 +40,7 @@ HOT_SHIFT = 3
 #: Different pieces of one minimizer in a slice, and over all, from which it is hot.
 HOT_IN_SLICE, HOT = 64, 4096
 #: Bytes of a slice of texts; a longer text is read in overlapping sections of this size.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Pieces that a bucket of fingerprints has about, and bytes of a shard of pieces.
 BUCKET_PIECES, SHARD_BYTES = 1 << 18, 1 << 20
 #: Keys of documents up to which they are broadcast (16 bytes each); beyond, all texts are joined by shuffle.
