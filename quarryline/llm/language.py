@@ -194,6 +194,10 @@ def fit(docs: DataFrame, per_language: int = 400, bits: int = 13) -> Model:
     return Model(languages, bits, idf.astype(np.float32), weights.astype(np.float32), bias.astype(np.float32), fit_temperature(logits, y[held]))
 
 
+#: Rows of an Arrow batch that are labelled, and passed on, together.
+ROWS = 1024
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` plus lang_pred and score.
 
@@ -208,19 +212,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*held.value)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            names: list[str] = []
-            scores: list[float] = []
-            for a, b in slices(texts, 1 << 19):
-                for i in range(a, b, 128):
-                    counts, lettered = gram_counts(texts[i : min(i + 128, b)], m.bits)
-                    lettered = lettered & bool(m.languages)
-                    p = softmax((features(counts, m.idf) @ m.weights + m.bias) / m.temperature) if m.languages else np.zeros((len(counts), 1))
-                    best = p.argmax(1)
-                    names += [m.languages[k] if ok else UNDETERMINED for k, ok in zip(best, lettered, strict=True)]
-                    scores += np.where(lettered, p[np.arange(len(p)), best], 0.0).astype(float).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        for whole in batches:
+            # Some rows at a time, so that neither their strings nor the result of a whole batch are held at once.
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                texts = [t or "" for t in batch.column(at).to_pylist()]
+                names: list[str] = []
+                scores: list[float] = []
+                for a, b in slices(texts, 1 << 19):
+                    for i in range(a, b, 128):
+                        counts, lettered = gram_counts(texts[i : min(i + 128, b)], m.bits)
+                        lettered = lettered & bool(m.languages)
+                        p = softmax((features(counts, m.idf) @ m.weights + m.bias) / m.temperature) if m.languages else np.zeros((len(counts), 1))
+                        best = p.argmax(1)
+                        names += [m.languages[k] if ok else UNDETERMINED for k, ok in zip(best, lettered, strict=True)]
+                        scores += np.where(lettered, p[np.arange(len(p)), best], 0.0).astype(float).tolist()
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(label, schema)
 
