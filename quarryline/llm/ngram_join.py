@@ -16,6 +16,8 @@
 5. *Verification.* Sets of candidate pairs are intersected. A unit returns one row per node: the number of its links
    and a neighbour that spans its local class. No pair becomes a row.
 6. *Classes.* Components of the spanning links.
+7. *Counts.* In classes of three nodes and more, the sets of all members are intersected, block by block, so that a link
+   that met in no trie is counted too and the number of links of a node does not depend on the units of the descent.
 """
 
 from __future__ import annotations
@@ -249,14 +251,100 @@ def verify_unit(table: pa.Table, threshold: float, target: float, floor: int) ->
     return pa.table({"node": nodes[some], "other": nodes[root[some]], "n_links": n[some]}, schema=pa.schema([("node", pa.int64()), ("other", pa.int64()), ("n_links", pa.int64())]))
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of ``left`` shares with each of ``right`` (sorted sets), exactly.
+
+    Only elements of both sides count, some thousands at a time: products of 0 and 1 matrices, whose sums of at most
+    4,096 are exact in single precision.
+    """
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not len(left) or not len(right):
+        return out
+    one, two = np.concatenate(left), np.concatenate(right)
+    row = np.repeat(np.arange(len(left)), [len(s) for s in left])
+    col = np.repeat(np.arange(len(right)), [len(s) for s in right])
+    shared = np.intersect1d(one, two)
+    if right is left:
+        # What only one set holds meets nothing but itself.
+        value, n = np.unique(one, return_counts=True)
+        shared = value[n > 1]
+        out[np.arange(len(left)), np.arange(len(left))] = [len(s) for s in left]
+    at_one, at_two = np.searchsorted(shared, one), np.searchsorted(shared, two)
+    in_one, in_two = at_one < len(shared), at_two < len(shared)
+    in_one[in_one] = shared[at_one[in_one]] == one[in_one]
+    in_two[in_two] = shared[at_two[in_two]] == two[in_two]
+    row, at_one, col, at_two = row[in_one], at_one[in_one], col[in_two], at_two[in_two]
+    by_one, by_two = np.argsort(at_one, kind="stable"), np.argsort(at_two, kind="stable")
+    row, at_one, col, at_two = row[by_one], at_one[by_one], col[by_two], at_two[by_two]
+    sums = np.zeros(out.shape, np.int64)
+    for k in range(0, len(shared), 4096):
+        a, b = np.searchsorted(at_one, [k, k + 4096])
+        c, d = np.searchsorted(at_two, [k, k + 4096])
+        wide = min(4096, len(shared) - k)
+        x, y = np.zeros((len(left), wide), np.float32), np.zeros((len(right), wide), np.float32)
+        x[row[a:b], at_one[a:b] - k] = 1
+        y[col[c:d], at_two[c:d] - k] = 1
+        sums += (x @ y.T).astype(np.int64)
+    return np.maximum(out, sums)
+
+
+def count_links(table: pa.Table, threshold: float) -> pa.Table:
+    """Rows (node, class_id, copies, side, shingles) of one unit to rows (node, others): the documents linked to a node
+    among the members of its class, or across the two sides of a pair of blocks."""
+    node, klass, copies, side = (table.column(c).to_numpy() for c in ("node", "class_id", "copies", "side"))
+    sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("shingles")]
+    size = np.array([len(s) for s in sets], np.int64)
+    n = np.zeros(len(node), np.int64)
+    order = np.argsort(klass, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(klass[order])) + 1):
+        within = side[at[0]] < 0
+        left = at if within else at[side[at] == side[at].min()]
+        right = at if within else at[side[at] != side[at].min()]
+        mine = [sets[i] for i in left]
+        both = overlaps(mine, mine if within else [sets[i] for i in right])
+        close = both >= threshold * (size[left][:, None] + size[right][None] - both) - 1e-9
+        if within:
+            np.fill_diagonal(close, False)
+        n[left] += close @ copies[right]
+        if not within:
+            n[right] += close.T @ copies[left]
+    return pa.table({"node": node, "others": n}, schema=pa.schema([("node", pa.int64()), ("others", pa.int64())]))
+
+
+def class_links(known: DataFrame, members: DataFrame, n: int, threshold: float, block: int, unit_shingles: int) -> DataFrame:
+    """(node, others) of the ``members`` (node, class_id, copies, n_shingles) of classes of three nodes and more.
+
+    Small classes are packed into units; a class beyond ``block`` nodes or ``unit_shingles`` shingles is cut into hashed
+    blocks, and each pair of blocks is a unit.
+    """
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("mass")).where("size > 2")
+    members = written(members.join(sizes, "class_id"), "forest-members")
+    n_members, all_mass = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    packs = 1 + max(n_members // block, all_mass // unit_shingles)
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("mass") / unit_shingles)).cast("int")
+    cut = members.select("node", "class_id", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    small = cut.where("blocks = 1").select("node", F.pmod(F.xxhash64("class_id"), F.lit(packs)).alias("unit"), F.lit(-1).alias("low"), F.lit(-1).alias("high"), F.lit(-1).alias("side"))
+    large = cut.where("blocks > 1").withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "mate"), F.greatest("own", "mate")
+    large = large.select("node", F.col("class_id").alias("unit"), low.alias("low"), high.alias("high"), F.when(low == high, -1).otherwise(F.col("own")).alias("side"))
+    if n_members <= BROADCAST_ROWS:
+        known = known.join(F.broadcast(members.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+    wanted = members.select("node", "class_id", "copies")
+    texts = known.select(F.col("doc_id").alias("node"), "text").join(wanted, "node").dropDuplicates(["node"])
+    units = shingle_sets(texts.select("node", "class_id", "copies", "text"), n).join(small.unionByName(large), "node")
+    counted = units.groupBy("unit", "low", "high").applyInArrow(lambda table: count_links(table, threshold), "node long, others long")
+    return counted.groupBy("node").agg(F.sum("others").alias("others"))
+
+
 def jaccard_classes(
-    docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, max_depth: int = 8, target: float = 0.9999, block: int = 1000, unit_shingles: int = 1 << 20
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, max_depth: int = 8, target: float = 0.9999, block: int = 1000, unit_shingles: int = 1 << 20, exact_counts: bool = True
 ) -> DataFrame:
     """One row per input row: doc_id, class_id, n_links, rep_id, n_shingles.
 
     Two documents are linked if the sets of their ``n``-word shingles (lower-case runs of letters, digits and
     underscores) have a Jaccard similarity of ``threshold`` or more. ``n_links`` counts all other linked
-    documents, copies included; ``rep_id`` is the smallest doc_id with the same set; ``class_id`` is the
+    documents of the class, copies included (without ``exact_counts`` those that the forest met, which ``target``
+    bounds from below and which ``block`` may change); ``rep_id`` is the smallest doc_id with the same set; ``class_id`` is the
     smallest doc_id that chains of links reach. A text of fewer than ``n`` words has one shingle of all its
     words. Null and empty texts, and those without words, link to nothing. A repeated row
     counts as a copy. Rows without doc_id take no part: their class_id and rep_id are null; ids must be integers. An
@@ -306,6 +394,10 @@ def jaccard_classes(
 
     classes = connected_components(links.where("node <> other").select(F.col("node").alias("u"), F.col("other").alias("v"))).withColumnRenamed("component", "class_id")
     counts = links.groupBy("node").agg(F.sum("n_links").alias("others"))
+    if exact_counts:
+        classes = written(classes, "forest-classes")
+        exact = class_links(known, classes.join(nodes.select("node", "copies", "n_shingles"), "node"), n, threshold, block, unit_shingles)
+        counts = counts.join(exact.withColumnRenamed("others", "exact"), "node", "left").select("node", F.coalesce("exact", "others").alias("others"))
     nodes = nodes.select("set_a", "set_b", F.col("node"), "copies").join(counts, "node", "left").join(classes, "node", "left")
     rows = sketches.join(nodes, ["set_a", "set_b"], "left")
     empty = F.col("n_shingles") == 0

@@ -4,7 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarryline.llm.ngram_join import common_depth, jaccard_classes, linked, match_depth, signatures
+from quarryline.llm.ngram_join import common_depth, jaccard_classes, linked, match_depth, overlaps, signatures
 
 SCHEMA = "doc_id long, text string, source string, keys string"
 
@@ -125,3 +125,25 @@ def test_brute_force_on_documents(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = {r.doc_id: (r.class_id, r.n_links, r.n_shingles) for r in jaccard_classes(docs.withColumn("extra", F.lit(1))).collect()}
     assert got == brute(rows)
+
+
+def test_overlaps_are_exact():
+    sets = family(40) + [np.zeros(0, np.uint64)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert overlaps(sets, sets).tolist() == want
+    assert overlaps(sets[:9], sets[9:]).tolist() == [row[9:] for row in want[:9]]
+    assert overlaps([], sets).shape == (0, 41)
+
+
+def test_counts_of_a_large_family_are_whole_whatever_the_block(spark):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        k = rng.choice([0, 1, len(w) - 1])
+        w[k] = f"v{i}"
+        rows.append((i, " ".join(w)))
+    want = brute(rows)
+    assert found(spark, rows, block=400) == want
+    assert found(spark, rows, block=2000) == want
