@@ -47,7 +47,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     empty texts are linked to nothing and stay. Columns of any name pass through; an empty table stays empty.
     """
     rows = _plain(docs)
-    classes = ngram_join.jaccard_classes(rows)
+    classes = ngram_join.jaccard_classes(rows, exact_counts=False)  # only the classes are read
     surplus = written(classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "surplus-ids")
     again = written(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "repeated-ids")
     left, again = rows.join(_sized(surplus), "doc_id", "left_anti"), _sized(again)
