@@ -271,18 +271,24 @@ def q60_index_files(spark, sf_dir):
     return files.read_index(spark, f"{place}/nodes.json", "qualified_name string, type string, file string, line int").withColumn("absent", F.lit(absent))
 
 
+#: Documents in one file of q61.
+PER_FILE = 250
+
+
 def q61_load_documents(spark, sf_dir):
-    """Nations as entries of one JSON object by name: some with another field of text, some without a name or no objects."""
-    n = base.table(spark, sf_dir, "nation")
-    key = F.col("n_nationkey")
-    field = F.when(key % 3 == 0, "text").when(key % 3 == 1, "code").otherwise("content")
-    name = F.when(key % 4 == 0, F.concat(F.lit(',"qualified_name":"N'), key.cast("string"), F.lit('"'))).otherwise("")
-    entry = F.when(key % 7 == 6, F.lit("17")).otherwise(F.concat(F.lit('{"id":'), key.cast("string"), name, F.lit(',"'), field, F.lit('":"'), "n_name", F.lit('"}')))
-    item = F.concat(F.lit('"'), F.when(key == 11, "").otherwise(F.col("n_name")), F.lit('":'), entry)
-    whole = n.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), item.alias("x")))), lambda s: s["x"]), ",").alias("items")).select(F.concat(F.lit("{"), "items", F.lit("}")).alias("value"))  # 25 rows
-    path = f"{shared_folder(spark)}/documents-{spark.range(1).select(F.uuid()).first()[0]}"
-    whole.coalesce(1).write.text(path)
-    return files.load_documents(spark, path).select("id", "qualified_name", "text")
+    """All documents as JSON files of three shapes, some with another field of text, some without a name or no objects."""
+    d = base.table(spark, sf_dir, "documents")
+    key, number = F.col("doc_id"), F.col("doc_id").cast("string")
+    fields = [F.when(key % 3 == i, F.col("text")).alias(c) for i, c in enumerate(("text", "code", "content"))]
+    entry = F.when(key % 7 == 6, F.lit("17")).otherwise(F.to_json(F.struct(key.alias("id"), F.when(key % 4 > 0, F.concat(F.lit("N"), number)).alias("qualified_name"), *fields)))
+    rows = d.select(F.floor(key / PER_FILE).alias("part"), key.alias("k"), entry.alias("entry"))
+    named = F.concat(F.lit('"'), F.when(F.col("k") % 44 == 0, "").otherwise(F.concat(F.lit("D"), F.col("k").cast("string"))), F.lit('": '), F.col("entry"))
+    shape = F.col("part") % 3
+    rows = rows.groupBy("part").agg(F.array_join(F.sort_array(F.collect_list(F.when(shape == 2, named).otherwise(F.col("entry")))), ",\n ").alias("all"))  # PER_FILE rows
+    text = F.when(shape == 0, F.concat(F.lit("["), "all", F.lit("]"))).when(shape == 1, F.concat(F.lit('{"made": [1], "documents": ['), "all", F.lit("]}"))).otherwise(F.concat(F.lit("{"), "all", F.lit("}")))
+    place = f"{shared_folder(spark)}/documents-{spark.range(1).select(F.uuid()).first()[0]}"
+    files.write_tree(rows.select(F.concat(F.lit("f"), F.col("part").cast("string"), F.lit(".json")).alias("file"), text.alias("text")), place)
+    return files.load_documents(spark, place).select("id", "qualified_name", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"))
 
 
 def _tree(spark, sf_dir) -> str:

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from quarryline import config
 from quarryline.runtime import written
+from quarryline.sources.json_entries import RANGE_BYTES, object_entries
 
 SYMBOL = "name string, qualified_name string, type string, file string, line int"
 DOCUMENT = f"id long, {SYMBOL}, text string"
@@ -134,21 +135,30 @@ def write_index(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     (writer.json if path.endswith(".json") else writer.parquet)(path)
 
 
-def load_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents from a JSON file that is an array, an object with ``documents``, or an object by name.
+def load_documents(spark: SparkSession, path: str, opener: Opener = open_store, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Documents from JSON files, each an array, an object with ``documents``, or an object by name.
 
-    Entries that are no objects or have no name are passed over; of one name the last counts.
+    ``path`` is a file, or a folder whose files are all read but for those hidden by ``_`` or ``.``. A file is read
+    by many tasks, a range of bytes each. Entries that are no objects or have no name are passed over; of one name the
+    last counts, by file and place in it.
     """
     require(spark, path)
-    fields = f"{DOCUMENT}, file_path string, code string, content string"
-    raw = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("j"))
-    raw = raw.withColumn("j", F.when(F.get_json_object("j", "$.documents").startswith("["), F.get_json_object("j", "$.documents")).otherwise(F.col("j")))
-    listed = raw.where(F.col("j").startswith("[")).select(F.posexplode(F.from_json("j", "array<string>")).alias("pos", "entry"), F.lit(None).cast("string").alias("key"))
-    named = raw.where(F.col("j").startswith("{")).select(F.posexplode(F.map_entries(F.from_json("j", "map<string,string>"))).alias("pos", "e"))
-    named = named.select("pos", F.col("e.value").alias("entry"), F.col("e.key").alias("key"))
-    rows = listed.unionByName(named).where(F.col("entry").startswith("{")).withColumn("d", F.from_json("entry", fields))
+    store, top = opener(path)
+    known = store.get_file_info(top)
+    if known.type == fs.FileType.Directory:
+        hidden = F.substring_index("file", "/", -1).substr(1, 1).isin("_", ".")
+        found = _listed(spark, path, opener=opener).where(~hidden)
+    else:
+        found = spark.createDataFrame([("", known.size)], "file string, size long")
+
+    def open_file(name: str):
+        store, top = opener(path)
+        return store.open_input_file(_below(top, name))
+
+    rows = object_entries(found, open_file, range_bytes=range_bytes)
+    rows = rows.withColumn("d", F.from_json("entry", f"{DOCUMENT}, file_path string, code string, content string"))
     rows = rows.withColumn("full", F.coalesce("d.qualified_name", "key")).where(F.coalesce("full", F.lit("")) != "")
-    last = rows.groupBy("full").agg(F.max_by("d", "pos").alias("d"))
+    last = rows.groupBy("full").agg(F.max_by("d", F.struct("file", "pos")).alias("d"))
     text = F.coalesce(*[F.when(F.col(f"d.{c}") != "", F.col(f"d.{c}")) for c in ("text", "code", "content")], F.lit(""))
     return last.select("d.id", F.col("d.name"), F.col("full").alias("qualified_name"), "d.type", F.coalesce("d.file", "d.file_path").alias("file"), "d.line", text.alias("text"))
 
