@@ -344,4 +344,21 @@ def q68_search_context(spark, sf_dir):
     return context.prompt_text(built).select("qid", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
+class Echo:
+    """A generator without a server: the words of the prompt, counted."""
+
+    def generate(self, prompt: str) -> str:
+        return f"{len(prompt)} characters"
+
+
+def q70_reply_ledger(spark, sf_dir):
+    """Every turn of every conversation as a prompt, put twice: the second time all replies are at hand."""
+    turns = base.table(spark, sf_dir, "conversations")
+    rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("prompt"), F.lit(None).cast("string").alias("explanation"))
+    place = f"{shared_folder(spark)}/ledger-{spark.range(1).select(F.uuid()).first()[0]}"
+    providers.answer(rows, Echo, place=place)
+    again = providers.answer(rows, Echo, place=place)
+    return again.withColumn("n_asked", F.lit(spark.read.parquet(f"{place}/table").count()))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}

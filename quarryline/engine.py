@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -82,23 +81,35 @@ class CodeIndex:
     def _deferred(self) -> DataFrame:
         return self.spark.createDataFrame(list(self.settings.deferred), "source string, target string, sentence string")
 
-    def search(self, queries: DataFrame, top_k: int = 5, candidate_k: int = 10, rrf_k: int = config.RRF_K, identifier_weight: float = config.IDENTIFIER_WEIGHT, query_vectors: DataFrame | None = None) -> DataFrame:
-        """The ``top_k`` results of each query (qid, query), or of its vector (qid, embedding) if those are given."""
+    def search(self, queries: DataFrame, top_k: int = 5, candidate_k: int = 10, rrf_k: int = config.RRF_K, identifier_weight: float = config.IDENTIFIER_WEIGHT, query_vectors: DataFrame | None = None, stages: evaluation.Stages | None = None) -> DataFrame:
+        """The ``top_k`` results of each query (qid, query), or of its vector (qid, embedding) if those are given.
+
+        ``stages`` is told when each stage has written its rows; with it the graph's candidates are written as well.
+        """
+        told = stages.end if stages is not None else lambda name, rows: None
         features = written(fusion.query_features(queries, self.settings.expansions), "query-features")
+        told("features", features)
         bm25 = written(lexical.top(self.lexical, features.select("qid", F.col("expanded").alias("query")), candidate_k), "bm25")
+        told("bm25", bm25)
         if query_vectors is None and self.encoder is not None:
             query_vectors = vectors.encode(queries.select("qid", F.col("query").alias("text")), self.encoder, "qid")
         if self.embeddings is not None and query_vectors is not None:
             semantic = written(vectors.top(self.embeddings, query_vectors, candidate_k), "semantic")
         else:
             semantic = bm25.limit(0)
+        told("semantic", semantic)
         names = edges.last_of_name(self.documents.select("id", "qualified_name", "file", "line", "type"))
         by_id = self.documents.select("id", F.col("qualified_name").alias("name"))
         seeds = fusion.seeds(bm25.join(by_id, "id"), semantic.join(by_id, "id"))
         near = proximity.top(proximity.scores(seeds, self.graph, names), names, candidate_k)
         graph = near.join(names.select("id", "qualified_name"), "qualified_name").select("qid", "id", "rank")
+        if stages is not None:
+            graph = written(graph, "graph-candidates")
+        told("graph", graph)
         fused = fusion.fuse(bm25, semantic, graph, rrf_k)
-        return written(fusion.rank(fused, self.documents, features, top_k, identifier_weight, self.settings.stop_words), "results")
+        results = written(fusion.rank(fused, self.documents, features, top_k, identifier_weight, self.settings.stop_words), "results")
+        told("results", results)
+        return results
 
     def enrich(self, results: DataFrame, most: int | None = None) -> DataFrame:
         """Results with their code and their edges, or with ``most`` only those that an answer reads."""
@@ -135,11 +146,19 @@ class CodeIndex:
         prompt = providers.prompt(F.col("query"), F.coalesce("path", F.lit("")), F.coalesce("text", F.lit("")))
         return providers.answer_questions(rows.select("qid", "query", prompt.alias("prompt"), F.lit(None).cast("string").alias("explanation")), provider)
 
+    def latencies(self, cases: DataFrame, top_k: int = 5, candidate_k: int = 20) -> tuple[DataFrame, DataFrame, float]:
+        """(latencies, results, seconds) of a search for cases (qid, query): see ``evaluation.latencies``."""
+        queries = cases.select("qid", "query")
+        stages = evaluation.Stages()
+        found = self.search(queries, top_k, candidate_k, stages=stages)
+        return evaluation.latencies(queries, stages), found, stages.seconds
+
     def timed_evaluation(self, cases: DataFrame, top_k: int = 5, candidate_k: int = 20) -> DataFrame:
-        """(n_cases, recall, mrr, mean_latency) of cases (qid, query, expected); the batch's seconds are shared by its questions."""
-        began = time.perf_counter()
-        found = self.search(cases.select("qid", "query"), top_k, candidate_k)
-        seconds = time.perf_counter() - began
+        """(n_cases, recall, mrr, mean_latency, max_latency) of cases (qid, query, expected); latencies are sums of a question's shares of the stages."""
+        timed, found, _ = self.latencies(cases, top_k, candidate_k)
         ranked = found.select("qid", F.col("qualified_name").alias("name"), "rank")
         measured = evaluation.metrics(cases.select("qid", "expected"), ranked, top_k)
-        return measured.withColumn("mean_latency", F.when(F.col("n_cases") > 0, F.lit(seconds) / F.col("n_cases")))
+        each = timed.groupBy("qid").agg(F.sum("seconds").alias("seconds"))
+        # Each of the two is one row; a left join on a constant keeps the metrics of no cases.
+        spent = each.agg(F.avg("seconds").alias("mean_latency"), F.max("seconds").alias("max_latency"), F.lit(1).alias("one"))
+        return measured.withColumn("one", F.lit(1)).join(spent, "one", "left").drop("one")

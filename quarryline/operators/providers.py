@@ -6,14 +6,15 @@ import json
 import os
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import partial
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.operators import ledger
+
 
 class Provider(Protocol):
     def generate(self, prompt: str) -> str: ...
@@ -57,13 +58,13 @@ def _post(url: str, headers: dict[str, str], body: dict) -> dict:
         raise RuntimeError(f"The hosted service cannot be reached: {e}") from e
 
 
-def _messages(key: str, model: str, prompt: str) -> str:
-    said = _post("https://api.anthropic.com/v1/messages", {"x-api-key": key, "anthropic-version": "2023-06-01"}, {"model": model, "max_tokens": 2000, "messages": [{"role": "user", "content": prompt}]})
+def _messages(key: str, model: str, prompt: str, url: str = "https://api.anthropic.com/v1/messages") -> str:
+    said = _post(url, {"x-api-key": key, "anthropic-version": "2023-06-01"}, {"model": model, "max_tokens": 2000, "messages": [{"role": "user", "content": prompt}]})
     return said["content"][0]["text"]
 
 
-def _responses(key: str, model: str, prompt: str) -> str:
-    said = _post("https://api.openai.com/v1/responses", {"Authorization": f"Bearer {key}"}, {"model": model, "input": prompt})
+def _responses(key: str, model: str, prompt: str, url: str = "https://api.openai.com/v1/responses") -> str:
+    said = _post(url, {"Authorization": f"Bearer {key}"}, {"model": model, "input": prompt})
     return "".join(part["text"] for item in said["output"] if item["type"] == "message" for part in item["content"] if part["type"] == "output_text")
 
 
@@ -99,22 +100,24 @@ def prompt(query: Column, path: Column, evidence: Column) -> Column:
     return F.concat(F.lit("Answer from the supplied repository evidence alone.\n\nUSER QUESTION:\n"), query, F.lit("\n\nIMPLEMENTATION PATH:\n"), path, F.lit("\n\nSOURCE CODE:\n"), evidence, F.lit("\n\nGive a concise factual answer. Do not speculate.\n"))
 
 
-def answer(prompts: DataFrame, provider: str) -> DataFrame:
-    """(qid, answer): the ``explanation`` of a row if it has one, else the provider's reply to its ``prompt``."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        generator = get_provider(provider)
-        for frame in frames:
-            yield pd.DataFrame({"qid": frame["qid"], "answer": [e or generator.generate(p) for p, e in zip(frame["prompt"], frame["explanation"], strict=True)]})
+def answer(prompts: DataFrame, provider: str | Callable[[], Provider], **more) -> DataFrame:
+    """(qid, answer): the ``explanation`` of a row if it has one, else the provider's reply to its ``prompt``.
 
-    return prompts.select("qid", "prompt", "explanation").mapInPandas(run, "qid long, answer string")
+    Equal prompts are asked once, when this is called; ``more`` are ``ledger.replies``' place, tasks, retries.
+    A null prompt is asked as ''.
+    """
+    rows = prompts.select("qid", F.coalesce("prompt", F.lit("")).alias("prompt"), F.coalesce("explanation", F.lit("")).alias("explanation"))
+    make, name = (provider, "") if callable(provider) else (partial(get_provider, provider), provider.strip().lower())
+    open_rows = rows.where("explanation = ''").withColumn("digest", ledger.digest(F.col("prompt"), name))
+    said = ledger.replies(open_rows.select("digest", "prompt"), make, **more)
+    return rows.where("explanation != ''").select("qid", F.col("explanation").alias("answer")).unionByName(open_rows.join(said, "digest").select("qid", F.col("reply").alias("answer")))
 
 
 #: Fixed value: the reply to a blank question.
 BLANK_QUESTION = "Please enter a question."
 
 
-def answer_questions(rows: DataFrame, provider: str) -> DataFrame:
+def answer_questions(rows: DataFrame, provider: str | Callable[[], Provider], **more) -> DataFrame:
     """``answer`` of rows that have a ``query`` as well; a blank one gets a message in place of an answer."""
     blank = F.trim(F.coalesce("query", F.lit(""))) == ""
-    return answer(rows.where(~blank), provider).unionByName(rows.where(blank).select("qid", F.lit(BLANK_QUESTION).alias("answer")))
+    return answer(rows.where(~blank), provider, **more).unionByName(rows.where(blank).select("qid", F.lit(BLANK_QUESTION).alias("answer")))

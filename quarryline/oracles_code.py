@@ -178,6 +178,7 @@ ORACLES = {
     "q60_index_files": """
         SELECT 'R' || r_regionkey AS qualified_name, 'R' AS type, 'geo' AS file, r_regionkey::INTEGER AS line, true AS absent FROM region UNION ALL SELECT 'N' || n_nationkey, 'N', 'geo', n_nationkey::INTEGER, true FROM nation
         UNION ALL SELECT 'S' || s_suppkey, 'S', 'geo', s_suppkey::INTEGER, true FROM supplier UNION ALL SELECT 'C' || c_custkey, 'C', 'geo', c_custkey::INTEGER, true FROM customer""",
+    "q70_reply_ledger": "SELECT conv_id * 1000 + turn AS qid, length(coalesce(text, '')) || ' characters' AS answer, (SELECT count(DISTINCT coalesce(text, '')) FROM conversations) AS n_asked FROM conversations",
     "q61_load_documents": """
         SELECT doc_id AS id, CASE WHEN doc_id % 4 > 0 THEN 'N' || doc_id ELSE 'D' || doc_id END AS qualified_name, md5(coalesce(text, '')) AS digest, length(coalesce(text, ''))::BIGINT AS n_chars
         FROM documents WHERE doc_id % 7 <> 6 AND (doc_id % 4 > 0 OR (doc_id // 250 % 3 = 2 AND doc_id % 44 <> 0))""",
