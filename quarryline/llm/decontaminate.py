@@ -110,7 +110,9 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
     pairs = written(sketches.join(_sized(signs, few_signs), ["part", "k", "m"]).select("doc_id", "item_id").distinct(), "candidates")
 
     own = again.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "s").distinct()
-    shared = own.join(_sized(table.select("item_id", "s", "q"), small), "s").join(pairs, ["doc_id", "item_id"], "left_semi")
+    # Candidates meet their items' shingles first: a shingle common to many items and documents does not multiply.
+    sought = pairs.join(_sized(table.select("item_id", "s", "q"), small), "item_id")
+    shared = sought.join(own, ["doc_id", "s"])
     share = shared.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"), F.first("q").cast("long").alias("n_item"))
     share = share.withColumn("containment", F.col("n_shared") / F.col("n_item"))
     return share.where(F.col("containment") >= threshold - 1e-9).select("doc_id", "item_id", "containment", "n_shared", "n_item")
