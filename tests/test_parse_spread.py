@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline import catalogue_code
 from quarryline.plans import pyast
+from quarryline.runtime import written
 
 
 def test_a_small_table_of_files_is_parsed_by_many_tasks(spark, tmp_path):
@@ -30,6 +31,16 @@ def test_the_parser_gives_what_plain_walks_give():
         assert [c["place"] for c in got["flat_calls"]] == places
 
 
+def test_repetitive_rows_are_not_broadcast(spark):
+    rows = written(spark.range(30_000).select("id", F.repeat(F.lit("x"), 10_000).alias("text")), "repetitive")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    asked = spark.range(60_000)
+    assert "Broadcast" not in plan(asked.join(rows.withColumn("more", F.length("text")), "id"))
+    assert "Broadcast" not in plan(rows.join(rows.groupBy("id").agg(F.max("text").alias("m")), "id"))
+    assert "BroadcastHashJoin" in plan(asked.join(F.broadcast(rows), "id"))  # where the caller says so
+    assert "BroadcastHashJoin" in plan(asked.join(written(spark.range(10), "few"), "id"))
+
+
 def _in_source_order(node):
     yield node
     for child in ast.iter_child_nodes(node):
