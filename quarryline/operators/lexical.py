@@ -60,7 +60,7 @@ def weight(k1: float, b: float) -> Column:
 def build_index(docs: DataFrame, text="text", keep: bool = True, k1: float = config.BM25_K1, b: float = config.BM25_B) -> LexicalIndex:
     """Index (id, text). Statistics cover the whole vocabulary, which the floor of rare weights needs.
 
-    The bounds of the blocks hold for ``k1`` and ``b``.
+    The bounds of the blocks hold for ``k1`` and ``b``; they are made when a search goes by them, or the index is saved.
     """
     tokens = docs.select("id", tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
     words = tokens.select("id", F.size("tokens").cast("long").alias("length"), F.posexplode_outer("tokens").alias("pos", "term"))
@@ -79,7 +79,7 @@ def build_index(docs: DataFrame, text="text", keep: bool = True, k1: float = con
     corpus = size.crossJoin(mean)
     corpus = written(corpus, "corpus") if keep else corpus
     blocks = postings.crossJoin(F.broadcast(corpus)).groupBy("term", block_of(F.col("id")).alias("block")).agg(F.max(weight(k1, b)).alias("best"))  # one row
-    return LexicalIndex(postings, terms, corpus, ids, written(blocks, "blocks") if keep else blocks)
+    return LexicalIndex(postings, terms, corpus, ids, blocks)
 
 
 def query_terms(index: LexicalIndex, queries: DataFrame, epsilon: float = config.BM25_EPSILON) -> DataFrame:

@@ -6,8 +6,9 @@ import inspect
 from pyspark.sql import functions as F
 
 from quarryline import catalogue_code
+from quarryline.operators import lexical
 from quarryline.plans import pyast
-from quarryline.runtime import written
+from quarryline.runtime import made, written
 
 
 def test_a_small_table_of_files_is_parsed_by_many_tasks(spark, tmp_path):
@@ -41,6 +42,14 @@ def test_repetitive_rows_are_not_broadcast(spark):
     assert "BroadcastHashJoin" in plan(asked.join(written(spark.range(10), "few"), "id"))
 
 
+def test_bounds_of_blocks_are_only_made_for_searches_that_use_them(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} other") for i in range(40)], "id long, text string")
+    before = made()
+    index = lexical.build_index(docs)
+    assert lexical.top(index, docs.limit(1).select(F.col("id").alias("qid"), F.lit("word3").alias("query")), 3).count() == 3
+    assert not [p for p in made()[len(before) :] if "/blocks-" in p] and index.blocks.count() > 0
+
+
 def _in_source_order(node):
     yield node
     for child in ast.iter_child_nodes(node):
