@@ -139,10 +139,9 @@ class CodeIndex:
     def ask(self, queries: DataFrame, provider: str, top_k: int = 5, candidate_k: int = 20) -> DataFrame:
         """(qid, answer) by a provider, from the context of the results. A blank question is told so."""
         asked = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "")
-        made = written(self.context(asked, self.search(asked, top_k, candidate_k)), "context")
+        made = written(context.prompt_text(self.context(asked, self.search(asked, top_k, candidate_k)), "implementation_paths"), "prompts")
         path = F.array_join(F.transform("implementation_paths", lambda p: F.array_join(p, " -> ")), "\n")
-        rows = made.select("qid", path.alias("path")).join(context.prompt_text(made), "qid")
-        rows = queries.select("qid", "query").join(rows, "qid", "left")
+        rows = queries.select("qid", "query").join(made.select("qid", path.alias("path"), "text"), "qid", "left")
         prompt = providers.prompt(F.col("query"), F.coalesce("path", F.lit("")), F.coalesce("text", F.lit("")))
         return providers.answer_questions(rows.select("qid", "query", prompt.alias("prompt"), F.lit(None).cast("string").alias("explanation")), provider)
 

@@ -61,8 +61,11 @@ def build(queries: DataFrame, results: DataFrame, documents: DataFrame, path_res
     return out.withColumn("implementation_paths", F.transform("path_results", lambda p: p["path"]))
 
 
-def prompt_text(context: DataFrame) -> DataFrame:
-    """(qid, text): the context as sections of text for a language model."""
+def prompt_text(context: DataFrame, *more: str) -> DataFrame:
+    """(qid, text): the context as sections of text for a language model.
+
+    ``more`` names columns of the context to keep: a join with the context would move the documents' texts twice more.
+    """
     numbered = lambda items, render: F.transform(items, lambda x, i: render(x, (i + 1).cast("string")))
     section = lambda title, items, rows: F.when(F.size(items) > 0, F.concat(F.array(F.lit(title)), rows)).otherwise(F.array().cast("array<string>"))
     docs = numbered(F.col("documents"), lambda d, i: F.concat(F.lit("\n["), i, F.lit("] "), d["qualified_name"], F.lit("\nFile: "), F.coalesce(d["file"], F.lit("unknown")), F.lit("\n\n"), F.coalesce(d["text"], F.lit(""))))
@@ -75,7 +78,7 @@ def prompt_text(context: DataFrame) -> DataFrame:
         section("\nIMPLEMENTATION PATHS:", F.col("path_results"), paths),
         section("\nRETRIEVAL EVIDENCE:", F.col("results"), found),
     )
-    return context.select("qid", F.array_join(parts, "\n").alias("text"))
+    return context.select("qid", *more, F.array_join(parts, "\n").alias("text"))
 
 
 def scored_name(name: Column, score: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import ast
 import inspect
+import re
 
 from pyspark.sql import functions as F
 
@@ -54,3 +55,10 @@ def _in_source_order(node):
     yield node
     for child in ast.iter_child_nodes(node):
         yield from _in_source_order(child)
+
+
+def test_a_prompt_is_made_in_its_contexts_own_row(spark):
+    before = made()
+    plan = catalogue_code.q56_prompt(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not [p for p in made()[len(before) :] if "/context-" in p]
+    assert len(re.findall(r"ReadSchema: struct<[^>]*\btext:", plan)) == 1  # no second reading of the texts, to be joined
