@@ -6,17 +6,24 @@ sums are scored first, and the score of the k-th document found is a threshold.
 least bounds that stay below the threshold together cannot bring a document into the result; only documents with one of
 the remaining terms are met, and only those whose bound reaches the threshold are scored. A block without remaining
 terms is skipped.
+
+Where the queries' terms are few, a document's postings of these terms make one row, and numpy adds them up for all queries
+within the task: only the best of each batch of documents leave it, not a row for each query and document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline import config
 from quarryline.functions.text import tokenize
+from quarryline.operators.vectors import best_of
 from quarryline.runtime import written
 
 #: Up to so many terms of all queries together, their table is broadcast; so is what they want of blocks.
@@ -25,6 +32,8 @@ SMALL_ROWS = 100_000
 BLOCK_IDS, FIRST_BLOCKS = 64, 16
 #: Up to so many meetings of a query's term with a document, all are scored, which costs less than bounds do.
 SCORE_ALL = 200_000_000
+#: So many times more where no meeting becomes a row; meetings, and scores, that a task holds at once.
+WITHIN_ROWS, AT_ONCE = 50, 1 << 21
 
 
 @dataclass
@@ -57,15 +66,41 @@ def weight(k1: float, b: float) -> Column:
     return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
 
 
+def _counted(tokens: DataFrame) -> DataFrame:
+    """(id, length, term, tf, leads) of (id, tokens), whose ids differ: each document's terms are counted in its own task.
+
+    A document's first row leads; one without tokens has that row alone, without a term.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(1)
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            n_terms = len(coded.dictionary)
+            own = np.concatenate([np.repeat(np.arange(len(ids)), lengths), np.flatnonzero(lengths == 0)])
+            codes = np.concatenate([coded.indices.to_numpy(), np.full((lengths == 0).sum(), n_terms)])
+            found, tf = np.unique(own * (n_terms + 1) + codes, return_counts=True)
+            doc, code = found // (n_terms + 1), found % (n_terms + 1)
+            leads = np.r_[True, doc[1:] != doc[:-1]][: len(doc)]
+            term = coded.dictionary.take(pa.array(code, mask=code == n_terms))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(lengths[doc]), term, pa.array(np.where(code == n_terms, 0, tf)), pa.array(leads)], ["id", "length", "term", "tf", "leads"])
+
+    return tokens.mapInArrow(run, f"id {tokens.schema['id'].dataType.simpleString()}, length long, term string, tf long, leads boolean")
+
+
 def build_index(docs: DataFrame, text="text", keep: bool = True, k1: float = config.BM25_K1, b: float = config.BM25_B) -> LexicalIndex:
     """Index (id, text). Statistics cover the whole vocabulary, which the floor of rare weights needs.
 
     The bounds of the blocks hold for ``k1`` and ``b``; they are made when a search goes by them, or the index is saved.
     """
     tokens = docs.select("id", tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    words = tokens.select("id", F.size("tokens").cast("long").alias("length"), F.posexplode_outer("tokens").alias("pos", "term"))
-    # The row of a document's first token, or of a document without one, stands for the document.
-    counts = words.groupBy("id", "length", "term").agg(F.count("term").alias("tf"), (F.coalesce(F.min("pos"), F.lit(0)) == 0).alias("leads"))
+    if docs.groupBy("id").count().where("count > 1").isEmpty():
+        counts = _counted(tokens)
+    else:  # rows with one id and length count as one document
+        words = tokens.select("id", F.size("tokens").cast("long").alias("length"), F.posexplode_outer("tokens").alias("pos", "term"))
+        # The row of a document's first token, or of a document without one, stands for the document.
+        counts = words.groupBy("id", "length", "term").agg(F.count("term").alias("tf"), (F.coalesce(F.min("pos"), F.lit(0)) == 0).alias("leads"))
     if keep:
         counts = written(counts, "postings")
     postings = counts.where(F.col("term").isNotNull()).select("term", "id", "tf", "length")
@@ -103,6 +138,57 @@ def _summed(hits: DataFrame, k1: float, b: float) -> DataFrame:
     return hits.groupBy("qid", "id").agg(F.sum(F.col("times") * F.col("idf") * weight(k1, b)).alias("score"))
 
 
+def _best_by_documents(index: LexicalIndex, terms: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """(qid, id, score, key) with the ``k`` best scored documents of each query among them; ``terms`` are few."""
+    spark, asked = terms.sparkSession, terms.toArrow().combine_chunks()  # SMALL_ROWS at most
+    names, number = np.unique(asked.column("term").to_numpy(zero_copy_only=False), return_inverse=True)
+    qids, query = np.unique(asked.column("qid").to_numpy(), return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    gains = (asked.column("times").to_numpy() * asked.column("idf").to_numpy())[order]
+    held = spark.sparkContext.broadcast((np.searchsorted(number[order], np.arange(len(names) + 1)), query[order], gains, qids))
+    numbers = spark.createDataFrame(pa.table({"term": pa.array(names, pa.string()), "t": np.arange(len(names), dtype=np.int32)}))
+    hits = index.postings.join(F.broadcast(numbers), "term").withColumn("avgdl", F.lit(asked.column("avgdl")[0].as_py()))
+    rows = hits.groupBy("id").agg(F.collect_list(F.struct("t", weight(k1, b).alias("w"))).alias("hits"))  # a document's terms that are asked for
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, query, gains, qids = held.value
+        n_of = np.diff(start)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, flat = batch.column(0).to_numpy(), batch.column(1).flatten()
+            t, w = flat.field("t").to_numpy(), flat.field("w").to_numpy()
+            ends = np.r_[0, np.cumsum(batch.column(1).value_lengths().to_numpy())]
+            meets = np.r_[0, np.cumsum(n_of[t])][ends]
+            a = 0
+            while a < len(ids):
+                z = min(int(np.searchsorted(meets, meets[a] + AT_ONCE, "right")) - 1, a + AT_ONCE // len(qids), len(ids))
+                z = max(z, a + 1)
+                some = slice(ends[a], ends[z])
+                fan = n_of[t[some]]
+                at = np.repeat(start[t[some]] - (np.cumsum(fan) - fan), fan) + np.arange(fan.sum())
+                doc = np.repeat(np.arange(z - a), np.diff(ends[a : z + 1]))
+                cell = np.repeat(doc * len(qids), fan) + query[at]
+                score = np.bincount(cell, np.repeat(w[some], fan) * gains[at], (z - a) * len(qids))
+                score[np.bincount(cell, minlength=len(score)) == 0] = -np.inf  # no term in common
+                score = score.reshape(z - a, len(qids))
+                keys = np.round(score, 9)
+                row, column = best_of(ids[a:z], keys, k)
+                met = keys[row, column] > -np.inf
+                row, column = row[met], column[met]
+                yield pa.RecordBatch.from_arrays([pa.array(qids[column]), pa.array(ids[a:z][row]), pa.array(score[row, column]), pa.array(keys[row, column])], ["qid", "id", "score", "key"])
+                a = z
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return rows.mapInArrow(run, f"qid {kind(terms, 'qid')}, id {kind(rows, 'id')}, score double, key double")
+
+
+def _numbered(terms: DataFrame, index: LexicalIndex) -> bool:
+    """Whether queries are few and they and the documents go by numbers, as numpy sorts them."""
+    whole = all(df.schema[c].dataType.simpleString() in ("int", "bigint") for df, c in ((terms, "qid"), (index.postings, "id")))
+    return whole and 0 < terms.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+
+
 def scores(index: LexicalIndex, queries: DataFrame, k1: float = config.BM25_K1, b: float = config.BM25_B, epsilon: float = config.BM25_EPSILON) -> DataFrame:
     """(qid, id, score) of all documents that share a term with a query (qid, query)."""
     return _summed(index.postings.join(_sized(query_terms(index, queries, epsilon)), "term"), k1, b)
@@ -158,8 +244,9 @@ def top(index: LexicalIndex, queries: DataFrame, k: int = 5, k1: float = config.
     """
     order = Window.partitionBy("qid").orderBy(F.desc("key"), "id")
     terms = written(query_terms(index, queries), "query-terms")
-    if terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0] <= SCORE_ALL:
-        best = _summed(index.postings.join(_sized(terms.drop("df")), "term"), k1, b).withColumn("key", F.round("score", 9))
+    few = _numbered(terms, index)
+    if terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0] <= SCORE_ALL * (WITHIN_ROWS if few else 1):
+        best = _best_by_documents(index, terms, k, k1, b) if few else _summed(index.postings.join(_sized(terms.drop("df")), "term"), k1, b).withColumn("key", F.round("score", 9))
         best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
     else:
         best, _ = best_in_blocks(index, terms.drop("df"), k, k1, b)

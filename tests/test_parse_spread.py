@@ -62,3 +62,22 @@ def test_a_prompt_is_made_in_its_contexts_own_row(spark):
     plan = catalogue_code.q56_prompt(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not [p for p in made()[len(before) :] if "/context-" in p]
     assert len(re.findall(r"ReadSchema: struct<[^>]*\btext:", plan)) == 1  # no second reading of the texts, to be joined
+
+
+def test_scores_of_all_queries_and_documents_do_not_become_rows(spark, monkeypatch):
+    docs = spark.range(300).select("id", F.concat(F.lit("common word"), (F.col("id") % 7).cast("string"), F.lit(" x"), F.repeat(F.lit(" common"), (F.col("id") % 5).cast("int"))).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(300, None), (301, "  ")], "id long, text string"))
+    asked = spark.range(40).select(F.col("id").alias("qid"), F.concat(F.lit("common common x word"), (F.col("id") % 9).cast("string")).alias("query"))
+    rows = lambda found: sorted((r.qid, r.id, round(r.score, 9), r["rank"]) for r in found.collect())
+    index = lexical.build_index(docs)
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and index.corpus.first().n_docs == 302
+    got = lexical.top(index, asked, 5)
+    assert not re.search(r"keys=\[qid#\d+L?, id#\d+L?\], functions=\[(partial_)?sum", got._jdf.queryExecution().executedPlan().toString())
+    small = rows(got)
+    monkeypatch.setattr(lexical, "AT_ONCE", 50)
+    assert rows(lexical.top(index, asked, 5)) == small
+    monkeypatch.setattr(lexical, "_numbered", lambda *_: False)
+    assert rows(lexical.top(index, asked, 5)) == small
+    twice = docs.unionByName(docs.where("id < 3"))
+    assert lexical.build_index(twice).corpus.first().n_docs == 302  # rows with one id and length are one document
