@@ -32,7 +32,7 @@ SMALL_ROWS = 100_000
 BLOCK_IDS, FIRST_BLOCKS = 64, 16
 #: Up to so many meetings of a query's term with a document, all are scored, which costs less than bounds do.
 SCORE_ALL = 200_000_000
-#: So many times more where no meeting becomes a row; meetings, and scores, that a task holds at once.
+#: So many times more where no meeting becomes a row; tokens, meetings, and scores, that a task holds at once.
 WITHIN_ROWS, AT_ONCE = 50, 1 << 21
 
 
@@ -72,9 +72,16 @@ def _counted(tokens: DataFrame) -> DataFrame:
     A document's first row leads; one without tokens has that row alone, without a term.
     """
 
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ends = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + AT_ONCE, "right")))
+            yield batch.slice(a, z - a)
+            a = z
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, lists = batch.column(0), batch.column(1)
+        for ids, lists in ((some.column(0), some.column(1)) for batch in batches for some in cut(batch)):
             lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             coded = lists.flatten().dictionary_encode()
             n_terms = len(coded.dictionary)

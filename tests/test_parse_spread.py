@@ -77,6 +77,8 @@ def test_scores_of_all_queries_and_documents_do_not_become_rows(spark, monkeypat
     small = rows(got)
     monkeypatch.setattr(lexical, "AT_ONCE", 50)
     assert rows(lexical.top(index, asked, 5)) == small
+    counted = lexical.build_index(docs)
+    assert sorted(counted.postings.collect()) == sorted(index.postings.collect()) and counted.corpus.first() == index.corpus.first()
     monkeypatch.setattr(lexical, "_numbered", lambda *_: False)
     assert rows(lexical.top(index, asked, 5)) == small
     twice = docs.unionByName(docs.where("id < 3"))
