@@ -83,3 +83,14 @@ def test_scores_of_all_queries_and_documents_do_not_become_rows(spark, monkeypat
     assert rows(lexical.top(index, asked, 5)) == small
     twice = docs.unionByName(docs.where("id < 3"))
     assert lexical.build_index(twice).corpus.first().n_docs == 302  # rows with one id and length are one document
+
+
+def test_calls_are_found_without_writing_source(monkeypatch):
+    text = "class A:\n    def go(self):\n        return self.step(x.y, f(z)).finish(k=1)[0].end()\ng(h(1))\n"
+    expressions = ["a.b(c)(d.e, f(g))", "f(a, *b)", "f(x=1).y", "f(1).g", "f((a, b))", "(a + b).c()", "f()()", "f(lambda: 0)", "a[0].b()", "(yield_ or a)()"]
+    assert [pyast.source_of(ast.parse(e).body[0].value) for e in expressions] == [ast.unparse(ast.parse(e).body[0].value) for e in expressions]
+    whole = pyast.parse_file("f", text)
+    assert [c["call"] for c in whole["flat_calls"]] == ["self.step(x.y, f(z)).finish(k=1)[0].end", "self.step(x.y, f(z)).finish", "self.step", "f"]
+    monkeypatch.setattr(ast, "unparse", lambda _: 1 / 0)
+    assert pyast.parse_file("f", text, ("calls",))["calls"] == whole["calls"] and len(whole["calls"]) == 6
+    assert pyast.parse_file("f", "def f():\n    a(b).c(d())\n", ("flat_calls",))["flat_calls"][0]["call"] == "a(b).c"
