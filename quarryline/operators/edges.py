@@ -13,7 +13,10 @@ from quarryline.runtime import written
 
 
 def symbols(parsed: DataFrame) -> DataFrame:
-    return parsed.select("file", F.explode("symbols").alias("s")).select("s.name", "s.qualified_name", "s.type", "file", "s.line", "s.end_line", "s.text", "s.bases")
+    """A row for each symbol, with the fields that were asked for."""
+    fields = parsed.schema["symbols"].dataType.elementType.names
+    columns = [f if f == "file" else f"s.{f}" for f in ("name", "qualified_name", "type", "file", "line", "end_line", "text", "bases") if f == "file" or f in fields]
+    return parsed.select("file", F.explode("symbols").alias("s")).select(*columns)
 
 
 def documents(symbols_: DataFrame) -> DataFrame:

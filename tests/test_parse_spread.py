@@ -4,10 +4,11 @@ import ast
 import inspect
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarryline import catalogue_code
-from quarryline.operators import lexical
+from quarryline.operators import edges, lexical
 from quarryline.plans import pyast
 from quarryline.runtime import made, written
 
@@ -94,3 +95,25 @@ def test_calls_are_found_without_writing_source(monkeypatch):
     monkeypatch.setattr(ast, "unparse", lambda _: 1 / 0)
     assert pyast.parse_file("f", text, ("calls",))["calls"] == whole["calls"] and len(whole["calls"]) == 6
     assert pyast.parse_file("f", "def f():\n    a(b).c(d())\n", ("flat_calls",))["flat_calls"][0]["call"] == "a(b).c"
+
+
+@pytest.mark.parametrize("query", ["q42_class_bases"])
+def test_a_query_that_reads_the_parsed_files_once_neither_shuffles_nor_writes_their_texts(spark, query):
+    before = made()
+    plan = getattr(catalogue_code, query)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not [p for p in made()[len(before) :] if "/parsed-" in p]
+    assert "MapInArrow" in plan and re.findall(r"Exchange (\w+\(\w+)", plan) == ["hashpartitioning(c_custkey"]
+
+
+def test_symbols_have_the_fields_that_are_asked_for(spark):
+    text = "class A(b.C, D[int]):\r\n    def m(self):\r\n        pass\r\ndef f(): g()\r\n"
+    whole = pyast.parse_file("f", text, ("symbols",))["symbols"]
+    assert [s["bases"] for s in whole] == [["b.C", "D[int]"], [], []] and whole[1]["text"] == "    def m(self):\n        pass"
+    for fields in (("name", "text"), ("bases", "line"), ("line",)):
+        assert [{f: s[f] for f in fields} for s in pyast.parse_file("f", text, ("symbols",), fields)["symbols"]] == [{f: s[f] for f in fields} for s in whole]
+    files = spark.createDataFrame([("f", text), ("bad", "def ("), ("none", None)], "file string, text string")
+    some = pyast.parse_sources(files, ("symbols",), ("type", "bases"), once=True)
+    assert {r.file: (r.error is None, len(r.symbols)) for r in some.collect()} == {"f": (True, 3), "bad": (False, 0), "none": (True, 0)}
+    rows = edges.symbols(some)
+    assert rows.columns == ["type", "file", "bases"]
+    assert sorted(map(tuple, rows.collect())) == [("class", "f", ["b.C", "D[int]"]), ("function", "f", []), ("method", "f", [])]
